@@ -34,7 +34,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     h = np.array([digest(line[s:e], seed) for s, e in zip(starts, ends[words - 1 :].tolist())], dtype="<u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
-        counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
