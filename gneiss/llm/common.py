@@ -101,18 +101,14 @@ def _local_forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(root[keep])], ["u", "v"])
 
 
-#: Parts into which the neighbours of one node are dealt when its minimum is joined back.
-HUB_PARTS = 8
-
-
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, component)`` of every node of ``edges(a, b)``, two long columns.
+    """``(node, component)`` of every node of ``edges(a, b)`` but the smallest of its component; two long columns.
 
-    ``component`` is the smallest node reachable. Each input partition is first
+    ``component`` is the smallest node reachable; it has no row of its own. Each input partition is first
     contracted to a forest; then large-star and small-star rounds alternate until
     the edge set is a set of stars, in a number of rounds that grows with the
-    logarithm of the graph. A hub's neighbours are dealt over ``HUB_PARTS``, minima are
-    pre-aggregated, and each round's edges are one table in the shared folder.
+    logarithm of the graph. Minima are pre-aggregated, a hub's edges can be split,
+    and each round's edges are one table in the shared folder.
     """
     e = edges.where("a is not null and b is not null and a <> b")
     e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).mapInArrow(_local_forest, "u long, v long")
@@ -132,10 +128,13 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _star(e: DataFrame) -> DataFrame:
-    """Each edge with ``m``, the least of ``u`` and its neighbours."""
-    least = e.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    least = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))))
-    return e.withColumn("part", F.pmod(F.hash("v"), F.lit(HUB_PARTS))).join(least, ["u", "part"]).drop("part")
+    """Each edge with ``m``, the least of ``u`` and its neighbours.
+
+    The minima get their own shuffle (the sum hides that they are already dealt by
+    ``u``), so both sides of the join are exchanges and AQE can split a hub's edges.
+    """
+    least = e.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).select((F.col("u") + 0).alias("u"), "m")
+    return e.join(least, "u")
 
 
 def _digest(e: DataFrame) -> tuple:
