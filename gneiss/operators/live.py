@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,13 +57,13 @@ def cost(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     AQE broadcasts it where its measured size allows.
     """
     once = pricing.groupBy(F.lower("provider").alias("_p"), F.col("model").alias("_m")).agg(
-        F.count("*").alias("_n"), *[F.first(c).cast("decimal(18,6)").alias(c) for c in ("input_per_m", "cached_per_m", "output_per_m")]
+        F.count("*").alias("_n"), *[F.first(c).cast("decimal(12,6)").alias(c) for c in ("input_per_m", "cached_per_m", "output_per_m")]
     ).where("_n = 1")
     u = usage.join(once, (F.lower("provider") == F.col("_p")) & (F.col("model") == F.col("_m")), "left")
-    d = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(18,0)")
+    d = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(12,0)")
     total = (d("actual_input") - d("cached_input")) * F.col("input_per_m") + d("cached_input") * F.col("cached_per_m") + d("actual_output") * F.col("output_per_m")
     sound = F.coalesce("cached_input", F.lit(0)) <= F.coalesce("actual_input", F.lit(0))
-    return u.withColumn("cost", F.when(sound, (total / F.lit(1_000_000)).cast("decimal(38,12)"))).select(*usage.columns, "cost")
+    return u.withColumn("cost", F.when(sound, (total * F.lit(Decimal("0.000001"))).cast("decimal(38,12)"))).select(*usage.columns, "cost")
 
 
 def usage_summary(priced: DataFrame, keys: list[str]) -> DataFrame:

@@ -59,7 +59,7 @@ def greedy_fit(items: Column, budget: int) -> Column:
 
 def greedy_pack(df: DataFrame, keys: list[str], order: list[str], ident: str, size: str, budget: int) -> DataFrame:
     """``(keys, id)`` taken by :func:`greedy_fit` in the order of ``order`` and the id."""
-    row = F.struct(*order, F.col(ident).cast("long").alias("id"), F.col(size).cast("long").alias("size"))
+    row = F.struct(*[F.col(o).alias(f"_{i}") for i, o in enumerate(order)], F.col(ident).cast("long").alias("id"), F.col(size).cast("long").alias("size"))
     # Items above the budget never fit and need not be gathered.
     items = df.where(F.col(size) <= budget).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("items"))
     taken = greedy_fit(F.col("items"), budget)
