@@ -227,8 +227,8 @@ def build(reps: DataFrame, centroids: Centroids, scratch: Scratch, counts: dict[
     return members, scratch.cut(graph)
 
 
-def near_duplicates(vectors: DataFrame, link: float = LINK, audit_rows: int = AUDIT_ROWS) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept, audited_links)`` of every row of ``vectors(vec_id, embedding, label)``.
+def near_duplicates(vectors: DataFrame, link: float = LINK, audit_rows: int = AUDIT_ROWS, least_recall: float = 0.9) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` of every row of ``vectors(vec_id, embedding, label)``.
 
     Vectors of equal, non-null label link at cosine ``link`` or more in double
     precision; every reported link is verified so. ``n_links`` counts the other rows linked
@@ -243,8 +243,9 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, audit_rows: int = AU
     ``QUERY_ROWS`` is searched in blocks of queries. Links come out as counts and
     spanning forests, never as all pairs of a group.
 
-    ``audited_links`` is the exact number of links, by comparison with all rows, for
-    ``audit_rows`` vectors of least hash and null elsewhere; :func:`audited_recall` sums it up.
+    The search is approximate, so it audits itself: for ``audit_rows`` vectors of least hash the
+    links found are held against a comparison with all rows, and a recall below ``least_recall``
+    raises an error instead of giving a result.
     Vectors of differing length in one label cannot be compared and raise an error.
     """
     spark = vectors.sparkSession
@@ -302,14 +303,16 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, audit_rows: int = AU
     edges = found.where("near <> root").select(F.col("near").alias("a"), F.col("root").alias("b"))
     classes = connected_components(edges, scratch)
     per_rep = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    audited = audit(reps, link, audit_rows)
-    done = reps.join(per_rep, "vec_id").join(classes, F.col("vec_id") == F.col("node"), "left").join(audited, "vec_id", "left")
-    done = done.select("label", "embedding", (F.col("links") + F.col("copies") - 1).alias("n"), F.coalesce("component", "vec_id").alias("c"), "exact")
+    done = reps.join(per_rep, "vec_id").withColumn("n", F.col("links") + F.col("copies") - 1)
+    recall = audited_recall(done.select("vec_id", "n").join(audit(reps, link, audit_rows), "vec_id"))
+    if recall < least_recall:
+        raise RuntimeError(f"the audit found {recall:.3f} of the links; {least_recall} are asked for")
+    done = done.join(classes, F.col("vec_id") == F.col("node"), "left").select("label", "embedding", "n", F.coalesce("component", "vec_id").alias("c"))
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     out = out.join(done, ["label", "embedding"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("c", "vec_id"))
     kept = F.coalesce(F.col("vec_id") == component, F.lit(True))
-    return out.select("vec_id", F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"), F.when(F.col("vec_id").isNotNull(), F.col("exact")).alias("audited_links"))
+    return out.select("vec_id", F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
 
 
 def audit(reps: DataFrame, link: float = LINK, audit_rows: int = AUDIT_ROWS) -> DataFrame:
@@ -338,7 +341,7 @@ def audit(reps: DataFrame, link: float = LINK, audit_rows: int = AUDIT_ROWS) ->
     return reps.mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("exact"))
 
 
-def audited_recall(result: DataFrame) -> float:
-    """Links found over links that exist, over the audited rows (1 if none has a link)."""
-    found, exist = result.where("audited_links is not null").agg(F.sum(F.least("n_links", "audited_links")), F.sum("audited_links")).first()
+def audited_recall(pairs: DataFrame) -> float:
+    """Links found over links that exist, of rows (n, exact); 1 if none has a link."""
+    found, exist = pairs.agg(F.sum(F.least("n", "exact")), F.sum("exact")).first()
     return found / exist if exist else 1.0

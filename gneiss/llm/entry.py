@@ -103,4 +103,28 @@ f AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINC
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(f.key) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM l LEFT JOIN f ON l.key = f.key GROUP BY r, doc_id""",
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.c, vec_id) AS component_id, coalesce(c.c, vec_id) = vec_id AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op10_chat_tools": """
+WITH e AS (
+  SELECT conv_id, turn, role, text, CASE WHEN conv_id IS NULL OR turn IS NULL THEN 'message' WHEN role = 'user' THEN 'call' WHEN role = 'assistant' THEN 'result' ELSE 'message' END AS kind
+  FROM conversations),
+k AS (SELECT *, CASE kind WHEN 'call' THEN conv_id || ':' || turn WHEN 'result' THEN conv_id || ':' || (turn - 1) END AS call_id FROM e),
+s AS (SELECT conv_id, call_id, bool_or(kind = 'call') AS has_call, min(turn) FILTER (WHERE kind = 'result') AS answered FROM k WHERE call_id IS NOT NULL GROUP BY 1, 2)
+SELECT k.conv_id, k.turn, CAST(0 AS INTEGER) AS seq, k.role, k.kind, k.call_id,
+  CASE k.kind WHEN 'call' THEN s.answered IS NOT NULL WHEN 'result' THEN s.has_call END AS linked,
+  CASE WHEN k.kind = 'call' THEN true END AS valid,
+  CASE WHEN k.kind = 'call' THEN k.turn < 2 OR coalesce(d.has_call AND d.answered < k.turn, false) END AS ordered,
+  CASE k.kind WHEN 'call' THEN '{"arguments":{"prompt":' || CAST(to_json(coalesce(k.text, '')) AS VARCHAR) || ',"turn":' || k.turn || '},"id":"' || k.call_id || '","name":"reply","role":"user"}'
+  ELSE '{"content":' || CAST(to_json(coalesce(k.text, '')) AS VARCHAR) || coalesce(',"role":' || CAST(to_json(k.role) AS VARCHAR), '') || coalesce(',"tool_call_id":"' || k.call_id || '"', '') || '}' END AS json
+FROM k LEFT JOIN s ON s.conv_id = k.conv_id AND s.call_id = k.call_id
+LEFT JOIN s d ON d.conv_id = k.conv_id AND k.kind = 'call' AND k.turn >= 2 AND d.call_id = k.conv_id || ':' || (k.turn - 2)""",
 }

@@ -320,11 +320,13 @@ def test_embedding_links_against_brute_force(spark):
     np.fill_diagonal(link, False)
     assert len(got) == len(rows)
     found, exist = sum(got[i].n_links for i in range(len(base))), int(link.sum())
-    assert 0.98 * exist <= found <= exist and embed_graph.audited_recall(result) >= 0.9
+    assert 0.98 * exist <= found <= exist
     want = classes([tuple(map(int, p)) for p in np.argwhere(link)], range(len(base)))
     assert all(got[i].component_id == want[i] for i in want)
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(900, 907))
     assert embed_graph.near_duplicates(df.limit(0)).count() == 0
+    with pytest.raises(RuntimeError, match="audit"):
+        embed_graph.near_duplicates(df, least_recall=1.01)
 
 
 def test_compact_windows_equal_the_definition():
