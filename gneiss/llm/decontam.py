@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -184,23 +185,38 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(per_batch(run), schema)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, max_span: int = WINDOW, cover: int = 20, window: int = WINDOW) -> DataFrame:
-    """``docs`` without contaminated rows' hit spans: rows over the coverage limit go whole.
+def cut_spans(text: str, hit: np.ndarray, longest: int) -> str:
+    """The text without its runs of more than ``longest`` hit words, from the first word's start to the last one's end."""
+    data = utf8(text)
+    places = [m.span() for m in re.finditer(rb"\S+", data.translate(NORMAL))]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist()
+    out, at = [], 0
+    for a, b in zip(edges[::2], edges[1::2]):
+        if b - a > longest:
+            out.append(data[at : places[a][0]])
+            at = places[b - 1][1]
+    return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
-    A row below the limit keeps its text unless a hit span is longer than ``max_span``
-    words *and* the row counts as contaminated; clean rows are returned as they were.
-    Null texts are kept. The columns are those of ``docs``.
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover: int = 20, longest: int | None = None) -> DataFrame:
+    """``docs`` without what is contaminated, columns unchanged.
+
+    A row goes whole if ``cover * n_hit >= n_words`` and it has a hit (see :func:`contamination`). Of
+    the other rows, hit runs of more than ``longest`` words are cut out of the text if that
+    limit is given, else they stay as they are. Null and empty texts have no hit and stay.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(automaton_of(items, window))
+    shared = docs.sparkSession.sparkContext.broadcast(automaton_of(items, window))
     at = docs.columns.index("text")
 
     def run(batch):
-        keep = []
-        for text in batch.column(at).to_pylist():
-            words = words_of(text)
-            n = int(shared.value.scan(words)[0].sum())
-            keep.append(not (n and cover * n >= len(words)))
-        return batch.filter(pa.array(keep, pa.bool_()))
+        keep, texts = [], batch.column(at).to_pylist()
+        for i, text in enumerate(texts):
+            hit = shared.value.scan(words_of(text))[0]
+            n = int(hit.sum())
+            keep.append(not (n and cover * n >= len(hit)))
+            if n and longest is not None:
+                texts[i] = cut_spans(text, hit, longest)
+        columns = [pa.array(texts, batch.schema.field(i).type) if i == at else c for i, c in enumerate(batch.columns)]
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(per_batch(run), docs.schema)
