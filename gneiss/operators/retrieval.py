@@ -113,6 +113,24 @@ def scores(reasons: DataFrame) -> DataFrame:
     return grouped.where("_best > 0").drop("_best")
 
 
+def total_scores(index: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """``(query_id, id, score)`` of :func:`score` without exact names and penalties, in one aggregation.
+
+    Both bounded signals saturate, so their sums are the least of the bound and the plain sum, and
+    no window is needed. ``index`` may hold just the terms that queries ask for: a term's document
+    frequency does not depend on the others.
+    """
+    rare = document_frequency(index).withColumn("rare", rarity_points(F.col("df"), F.lit(n))).select("term", "rare")
+    hits = index.join(terms, "term").join(rare, "term")
+    field = F.col("field")
+    total = F.least(F.lit(MEMBER_MOST), F.count_if(field == "member") * TOKEN_SIGNALS["member"][1])
+    for name, (_, points) in TOKEN_SIGNALS.items():
+        if name != "member":
+            total += F.count_if(field == name) * points
+    total += F.least(F.lit(RARITY_MOST), F.sum(F.when(field == "name", F.col("rare")).otherwise(0)))
+    return hits.groupBy("query_id", "id").agg(total.cast("int").alias("score"))
+
+
 def top(candidates: DataFrame, names: DataFrame, most: int = TOP_COMPONENTS) -> DataFrame:
     """The ``most`` best of each query by score, full name and id, with ``rank``."""
     named = candidates.join(names.select("id", "full_name"), "id")

@@ -528,17 +528,25 @@ pts AS (SELECT query_id, id, CASE field WHEN 'name' THEN 8 ELSE 4 END AS points
 scored AS (SELECT query_id, id, CAST(sum(points) AS INTEGER) AS score FROM pts WHERE points > 0 GROUP BY query_id, id)"""
 
 
+def corpus_terms(t):
+    return retrieval.query_terms(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+
+
 def corpus_index(t):
-    d = t.wide("documents")
-    field = lambda name, text: d.select(F.col("doc_id").alias("id"), F.lit(name).alias("field"), F.explode(X.tokens(text)).alias("term"))
+    """Postings of the documents for the terms that are asked for."""
+    rows = t.wide("documents").select(
+        F.col("doc_id").alias("id"),
+        F.explode(F.array(*[F.struct(F.lit(name).alias("field"), X.tokens(text).alias("terms")) for name, text in (("name", F.substring_index("text", "\n", 1)), ("project", F.col("source")), ("member", F.col("text")))])).alias("f"),
+    )
     # Tokens are distinct within a document, so the postings need no further distinct.
-    return field("name", F.substring_index("text", "\n", 1)).unionByName(field("project", F.col("source"))).unionByName(field("member", F.col("text")))
+    rows = rows.select("id", "f.field", F.explode("f.terms").alias("term"))
+    return rows.join(corpus_terms(t).select("term").distinct(), "term", "left_semi").select("id", "field", "term")
 
 
 def corpus_scores(t):
-    n = t.documents.count()
-    terms = retrieval.query_terms(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
-    return retrieval.scores(retrieval.score(corpus_index(t), terms, n))
+    """Scores of all pairs; postings and scores are written once, as several parts of a query read them."""
+    index = t.kept("postings", lambda: corpus_index(t))
+    return t.kept("scores", lambda: retrieval.total_scores(index, corpus_terms(t), t.documents.count()))
 
 
 @query(SCORED + " SELECT query_id, id, score FROM scored")
@@ -570,8 +578,7 @@ def corpus_projects(t):
     sources = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("project_id"))
     best = corpus_top(t).join(sources, "id").groupBy("query_id", "project_id").agg(F.max("score").alias("score"))
     aliases = t.documents.select(F.col("source").alias("project_id")).distinct().withColumn("alias", F.concat("project_id", F.lit(" the inan thon")))
-    terms = retrieval.query_terms(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
-    return retrieval.score_projects(terms, aliases, best)
+    return retrieval.score_projects(corpus_terms(t), aliases, best)
 
 
 @query(PROJECTS + " SELECT query_id, project_id, score FROM projects")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.functions.text import STOP_WORDS, SYNONYMS
-from gneiss.plans.lineage import spread
+from gneiss.plans.lineage import Lineage, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,11 +17,17 @@ class Tables:
     """The driver's tables by attribute, read lazily with the columns a query asks for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self._spark, self._folder = spark, folder
+        self._spark, self._folder, self._kept = spark, folder, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that one query uses several times, written once to the shared folder."""
+        if name not in self._kept:
+            self._kept[name] = Lineage(self._spark, name).cut(make())
+        return self._kept[name]
+
     def wide(self, name: str) -> DataFrame:
         """A table whose rows are costly to work on, over all cores."""
         return spread(getattr(self, name))
