@@ -165,6 +165,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, blocks: int
 
 
 def deduplicate(docs: DataFrame, **params) -> DataFrame:
-    """Rows of ``docs`` with the smallest doc_id of their class, columns unchanged."""
-    kept = near_duplicates(docs, **params).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Rows of ``docs`` with the smallest doc_id of their class, columns unchanged.
+
+    Rows of one doc_id are one document and stay or go together; rows without an id
+    cannot be named as copies of anything and stay.
+    """
+    kept = near_duplicates(docs, **params).where("doc_id = component_id or doc_id is null")
+    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept._kept), "left_semi")
