@@ -130,20 +130,19 @@ def slow_words(text):
 
 
 def slow_contamination(docs, items, n=13):
-    windows = []
+    windows = defaultdict(set)
     for name, text in items:
         w = slow_words(text)
         for i in range(max(1, len(w) - n + 1)) if w else ():
-            windows.append((tuple(w[i : i + n]), name))
+            windows[tuple(w[i : i + n])].add(name)
     out = []
     for i, text in docs:
         w, hit, found = slow_words(text), set(), set()
-        for win, name in windows:
-            for k in range(len(w) - len(win) + 1):
-                if tuple(w[k : k + len(win)]) == win:
-                    hit |= set(range(k, k + len(win)))
-                    if name is not None:
-                        found.add(str(name))
+        for m in {len(x) for x in windows}:
+            for k in range(len(w) - m + 1):
+                if names := windows.get(tuple(w[k : k + m])):
+                    hit |= set(range(k, k + m))
+                    found |= {str(x) for x in names if x is not None}
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return Counter(out)
 
