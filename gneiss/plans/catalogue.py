@@ -235,12 +235,12 @@ def edge_dedup_best_evidence(spark, t):
     return relational.first_per_key(e, ["source_id", "target_id"], order).drop("l_linenumber")
 
 
-PREVIOUS = "(SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0)"
+PREVIOUS = "(SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN translate(text, 'aeiou', 'AEIOU') ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0)"
 CURRENT = "(SELECT doc_id, source, text FROM documents WHERE doc_id % 11 <> 0)"
 
 
 def previous(t):
-    return t.documents.where("doc_id % 10 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")))
+    return t.documents.where("doc_id % 10 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.translate("text", "aeiou", "AEIOU")).otherwise(F.col("text")))
 
 
 def current(t):
