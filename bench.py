@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 from gneiss.plans.catalogue import QUERIES
 
 HEADLINE = [
-    "tokenize_distinct", "document_frequency", "term_rarity_points", "topk_components", "topk_projects", "mrr", "regression_report", "edge_dedup_best_evidence", "graph_merge_upsert",
+    "tokenize_distinct", "document_frequency", "term_rarity_points", "topk_components", "mrr", "edge_dedup_best_evidence", "graph_merge_upsert",
     "top_level_components", "depth1_expansion", "transitive_dependents", "snapshot_diff", "longest_prefix_owner", "evidence_validation", "policy_compliance", "outbound_regex_counts",
-    "bounded_running_allocation", "greedy_budget_pack", "topn_with_remainder", "expectation_match", "integrity_summary",
+    "bounded_running_allocation", "greedy_budget_pack", "topn_with_remainder", "integrity_summary",
 ]
 
 
