@@ -374,6 +374,43 @@ def test_repeated_passages_against_brute_force(spark):
     assert got[3].n_repeated == 0 and passages.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def test_changed_passages_in_foreign_context(spark):
+    r = random.Random(21)
+    text = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, want, size = [], [], {}
+    for i in range(40):
+        n, around = (60, 80, 90)[i % 3], (0, 20, 100)[i // 3 % 3]
+        part = text(n)
+        other = [*part[: n // 2], *text(i % 2), *text(1), *part[n // 2 + 1 :]]
+        rows += [(2 * i, " ".join(text(around) + part + text(around))), (2 * i + 1, " ".join(text(around) + other + text(around)))]
+        a, b = grams(part), grams(other)
+        want.append(len(a & b) >= 0.8 * len(a | b))
+        size[i] = n
+    rows += [(100, " ".join(text(80) + (few := text(48)) + text(80))), (101, " ".join(text(80) + few + text(80)))]
+    got = {x.doc_id: x for x in passages.repeated_passages(docs_of(spark, rows)).collect()}
+    found = [i for i in range(40) if got[2 * i + 1].component_id == 2 * i]
+    assert all(want) and len(found) >= 36, (want, found)
+    assert all(got[2 * i].n_repeated == size[i] for i in found)
+    assert got[100].n_repeated == got[101].n_repeated == 0
+
+
+def test_matches_against_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        a = r.integers(0, 1 << 40, 40)
+        b = np.concatenate([r.integers(0, 1 << 40, r.integers(0, 6)), np.delete(np.where(r.random(40) < 0.12, -1 - np.arange(40), a), r.integers(0, 40, 2)), r.integers(0, 1 << 40, 5)])
+        true = set()
+        for i in range(len(a)):
+            for e in range(i + 12, len(a) + 1):
+                for j in range(len(b)):
+                    if a[i] == b[j] and (ends := np.flatnonzero(b == a[e - 1])).size and ends[0] - j >= 11:
+                        one, two = set(a[i:e].tolist()), set(b[j : ends[0] + 1].tolist())
+                        if len(one & two) >= 0.8 * len(one | two):
+                            true |= set(range(i, e))
+        assert {k for x, y, _, _ in passages.matches(a, b, 12, 0.8) for k in range(x, y)} == true
+
+
 def test_licenses(spark):
     apache = licenses.SENTENCES
     rows = [
