@@ -395,6 +395,24 @@ def test_changed_passages_in_foreign_context(spark):
     assert got[100].n_repeated == got[101].n_repeated == 0
 
 
+def test_families_of_copies_with_a_shared_head(spark):
+    r = random.Random(8)
+    text = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, family, spans = [], {}, {}
+    for trial in range(30):
+        head = text((30, 28, 40)[trial % 3])
+        bodies = [head + text((60, 55, 60)[trial % 3] - len(head)) for _ in range(10)]
+        for i in range(40):
+            doc, k = 1000 * trial + i, i % 10
+            family[doc], spans[doc] = 1000 * trial + k, len(bodies[k])
+            rows.append((doc, " ".join(text(30) + bodies[k] + text(30))))
+    rows += [(90_000, " ".join((twice := text(50)) + text(20) + twice)), (90_001, " ".join(text(9) + twice))]
+    got = {x.doc_id: x for x in passages.repeated_passages(docs_of(spark, rows)).collect()}
+    assert {i: got[i].component_id for i in family} == family
+    assert all(got[i].n_repeated >= n for i, n in spans.items())
+    assert (got[90_000].n_repeated, got[90_001].component_id, got[90_001].n_repeated) == (100, 90_000, 50)
+
+
 def test_matches_against_brute_force():
     r = np.random.default_rng(4)
     for _ in range(60):
