@@ -80,6 +80,10 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 #: first parts are looked up by before a sentence is normalised (none is shorter).
 MARKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 STEM = 3
+#: Numbers or letters of list items: before a sentence, or cut off as one of their own.
+ITEM, NUMBER = re.compile(r"[^a-z0-9]*(?:[0-9]{1,2}|[a-z])\)\s+"), re.compile(r"[^a-z0-9]*(?:[0-9]{1,2}|[a-z])\)?", re.ASCII)
+#: Stands for what is no sentence: list numbers and lines of marks alone, as in comments.
+NOTHING = ""
 
 
 def normalise(sentence: str) -> str:
@@ -100,6 +104,10 @@ class RuleBook:
         for parts in self.of:
             self.of[parts] = tuple(sorted(self.of[parts], key=lambda p: (-len(p), p[0])))
         self.stems = {p[:STEM] for p in self.of}
+        # By first word: whole known sentences as words, longest first.
+        self.words: dict[str, list[tuple[str, list[str]]]] = {}
+        for name, text in sorted(sentences.items(), key=lambda x: (-len(normalise(x[1]).split()), x[0])):
+            self.words.setdefault(normalise(text).split()[0], []).append((name, normalise(text).split()))
         self.rules: dict[str, list[tuple[int, str, list[str]]]] = {}
         for n, (licence, ids) in enumerate(rules):
             self.rules.setdefault(ids[0], []).append((n, licence, ids))
@@ -108,25 +116,56 @@ class RuleBook:
 
     def identify(self, text: str | None) -> list[tuple[str | None, int]]:
         """Identifier (None: unknown) and number of each sentence that is not blank."""
-        sentences = [s for s in END.split((text or "").translate(LOWER)) if s and not s.isspace()]
+        text = (text or "").translate(LOWER)
+        sentences, breaks, at, end = [], [], 0, 0
+        for mark in [*END.finditer(text), None]:
+            s = text[at : mark.start() if mark else len(text)]
+            if s and not s.isspace():
+                breaks.append(text.count("\n", end, at) > 1)
+                sentences.append(s)
+                end = at + len(s)
+            at = mark.end() if mark else at
+        breaks.append(True)
         out: list[tuple[str | None, int]] = []
         i = 0
         while i < len(sentences):
-            known = ()
-            if sentences[i].lstrip(MARKS)[:STEM] in self.stems:
-                known = self.of.get(normalise(sentences[i]), ())
+            known, s = (), sentences[i]
+            start = s.lstrip(MARKS)
+            if not start or len(s) < 12 and NUMBER.fullmatch(s):
+                out.append((NOTHING, i))
+                i += 1
+                continue
+            if start[1:3].find(")") >= 0:
+                s = ITEM.sub("", s, count=1)
+                start = s.lstrip(MARKS)
+            if start[:STEM] in self.stems:
+                known = self.of.get(normalise(s), ())
             for name, *parts in known:
-                if all(i + k < len(sentences) and normalise(sentences[i + k]) == p for k, p in enumerate(parts)):
+                if normalise(s) == parts[0] and all(i + k < len(sentences) and normalise(sentences[i + k]) == p for k, p in enumerate(parts[1:], 1)):
                     out.append((name, i))
                     i += len(parts)
                     break
             else:
-                out.append((None, i))
-                i += 1
+                name, n = self.over_lines(s, sentences, breaks, i) if start[:STEM] in self.stems else (None, 1)
+                out.append((name, i))
+                i += n
         return out
 
+    def over_lines(self, s: str, sentences: list[str], breaks: list[bool], i: int) -> tuple[str | None, int]:
+        """Identifier of the known sentence that goes on from ``s`` over single newlines, and how many pieces it takes."""
+        begin = normalise(s).split()
+        for name, words in self.words.get(begin[0], ()) if begin else ():
+            have, n = begin, 1
+            while len(have) < len(words) and have == words[: len(have)] and not breaks[i + n] and (more := normalise(sentences[i + n])):
+                have = have + more.split()
+                n += 1
+            if have == words:
+                return name, n
+        return None, 1
+
     def match(self, found: list[tuple[str | None, int]]) -> list[tuple[int, str, int, int]]:
         """(rule, licence, first sentence, last sentence), left to right, longest rule first, without overlap."""
+        found = [f for f in found if f[0] != NOTHING]
         out, i = [], 0
         while i < len(found):
             for n, licence, ids in self.rules.get(found[i][0], ()):
@@ -145,7 +184,8 @@ def scan(docs: DataFrame, book: RuleBook | None = None) -> DataFrame:
     Whole texts are cut into sentences, sentences are normalised and looked up, and the
     sequence of identifiers is matched left to right against the rules: at each place
     the longest rule whose identifiers follow one another directly holds, ties go to the
-    rule listed first. ``licences`` are the distinct licences, sorted and comma-joined
+    rule listed first. A known sentence may be wrapped over lines, and list numbers
+    and lines of marks may lie between those of a rule. ``licences`` are the distinct licences, sorted and comma-joined
     (empty: none); ``matches`` holds (rule, licence, first sentence, last sentence).
 
     The rule table is a constant of the code and goes to all tasks; nothing is
@@ -162,7 +202,7 @@ def scan(docs: DataFrame, book: RuleBook | None = None) -> DataFrame:
             found = book.identify(text)
             hits = book.match(found)
             licences = sorted({h[1] for h in hits})
-            rows.append((doc, len(found), sum(f[0] is not None for f in found), ",".join(licences), hits[0][1] if hits else None,
+            rows.append((doc, len(found), sum(bool(f[0]) for f in found), ",".join(licences), hits[0][1] if hits else None,
                          [dict(zip(("rule", "licence", "first", "last"), h)) for h in hits]))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 

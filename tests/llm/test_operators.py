@@ -443,6 +443,63 @@ def test_licenses(spark):
     assert [licenses.RULES[m][1] for m in got[4][2]] == [["mit-permission", "mit-notice", "as-is"]]
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+APACHE = """Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_licenses_in_their_printed_form(spark):
+    comment = lambda text: "\n".join(f" * {x}" for x in text.split("\n"))
+    torn = MIT.replace("obtaining a copy\n", "obtaining a copy\n\n")
+    texts = [MIT, BSD, BSD + BSD3, GPL, APACHE, comment(MIT), comment(BSD + BSD3), (BSD + BSD3).replace("1. ", "(1) ").replace("2. ", "b) "), torn, "Licensed under CC BY-NC\n4.0 and more.", GPL.replace("any later", "no later"), "foo\n\n" + BSD + "more text.\n" + BSD3]
+    got = {r.doc_id: (r.licences, [licenses.RULES[m.rule][1] for m in r.matches]) for r in licenses.scan(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert [got[i][0] for i in range(len(texts))] == ["MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "Apache-2.0", "MIT", "BSD-3-Clause", "BSD-3-Clause", "", "", "", "BSD-2-Clause"]
+    assert got[0][1] == got[5][1] == [["mit-permission", "mit-notice", "as-is"]] and got[3][1] == [["gpl-free", "gpl-warranty"]]
+
+
 def test_chat_links(spark):
     call = json.dumps({"tool_calls": [{"id": "a", "name": "add", "arguments": {"y": 2, "x": 1}}, {"id": "b", "name": "add", "arguments": {"x": "no"}, "depends_on": ["a"]}]})
     later = json.dumps({"tool_calls": [{"id": "c", "name": "add", "arguments": {"x": 1, "y": 1.5}, "depends_on": ["a"]}, {"id": "d", "name": "none", "arguments": {}, "depends_on": ["zz"]}]})
