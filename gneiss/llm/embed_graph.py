@@ -131,7 +131,8 @@ class FlatGraph:
         """(query, point, similarity) found at ``link - margin`` or nearer.
 
         Greedy search from the medoid and the query's own point, ``beam`` best unexpanded
-        nodes at a time until none of them is new, then expansion of all that is in range.
+        nodes at a time until none of them is new, then expansion of all that is in range. No list may lead
+        from one tight group to another in range, so what the search did not see is compared in blocks.
         """
         n, m = len(self.points), len(queries)
         own = np.arange(m)
@@ -167,6 +168,9 @@ class FlatGraph:
                 break
             expanded[q, nodes] = True
             see(*self.around(q, nodes))
+        for at in range(0, m, 512):
+            part = sims[at : at + 512]
+            np.copyto(part, self.points[queries[at : at + 512]] @ self.points.T, where=part < -1.5, casting="same_kind")
         q, nodes = np.nonzero(sims >= link - 1e-4)
         return q, nodes, sims[q, nodes]
 
@@ -239,11 +243,12 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, audit_rows: int = AU
     Equal vectors are searched once and weighted. Each vector lies in the shards of its two
     nearest centroids. Lists are built and robust-pruned per shard, united per vector, and
     each shard searches the united graph among its members from its medoid, expanding
-    everything in range; a pair that shares two shards counts in the smaller one. A shard above
+    everything in range, and compares what that left out, so links inside a shard are exact;
+    a pair that shares two shards counts in the smaller one. A shard above
     ``QUERY_ROWS`` is searched in blocks of queries. Links come out as counts and
     spanning forests, never as all pairs of a group.
 
-    The search is approximate, so it audits itself: for ``audit_rows`` vectors of least hash the
+    Pairs that share no shard are not compared, so the result audits itself: for ``audit_rows`` vectors of least hash the
     links found are held against a comparison with all rows, and a recall below ``least_recall``
     raises an error instead of giving a result.
     Vectors of differing length in one label cannot be compared and raise an error.

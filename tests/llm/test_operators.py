@@ -331,6 +331,19 @@ def test_embedding_links_against_brute_force(spark):
         embed_graph.near_duplicates(df, least_recall=1.01)
 
 
+def test_links_between_two_tight_groups(spark):
+    r = np.random.default_rng(3)
+    one = np.eye(32)[0]
+    two = 0.985 * one + np.sqrt(1 - 0.985**2) * np.eye(32)[1]
+    points = np.repeat([one, two], 100, axis=0) + r.normal(0, 0.003, (200, 32))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    want = (points @ points.T >= 0.98).sum(1) - 1
+    assert (want == 199).mean() > 0.9
+    df = spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)], "vec_id long, embedding array<double>, label int")
+    got = sorted(embed_graph.near_duplicates(df).collect(), key=lambda x: x.vec_id)
+    assert [(x.n_links, x.component_id) for x in got] == [(n, 0) for n in want.tolist()]
+
+
 def test_compact_windows_equal_the_definition():
     r = np.random.default_rng(1)
     for n, width in ((5, 6), (6, 6), (40, 6), (97, 10)):
