@@ -344,6 +344,11 @@ def test_links_between_two_tight_groups(spark):
     assert [(x.n_links, x.component_id) for x in got] == [(n, 0) for n in want.tolist()]
 
 
+def test_audit_counts_no_copies(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0], 1) for i in range(50)] + [(50, [1.0, 0.01], 1), (51, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert {x.vec_id: x.exact for x in embed_graph.audit(embed_graph.representatives(df)).collect()} == {0: 1, 50: 1, 51: 0}
+
+
 def test_compact_windows_equal_the_definition():
     r = np.random.default_rng(1)
     for n, width in ((5, 6), (6, 6), (40, 6), (97, 10)):
