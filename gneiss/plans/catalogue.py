@@ -642,16 +642,22 @@ GOLD = "gold AS (SELECT item_id AS case_id, doc_id AS id FROM benchmark b JOIN d
 
 
 def golden(t):
-    """Documents that contain a test item, found by an equi-join on the item's rarest long word."""
-    words = t.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("item"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("w")).where("length(w) > 3")
-    d = t.wide("documents").select(F.col("doc_id").alias("id"), "text", F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("w"))
-    df = d.join(F.broadcast(words.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
-    key = words.join(df, "w").groupBy("case_id", "item").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
-    return d.join(key, "w").where(F.contains("text", F.col("item"))).select("case_id", "id")
+    """Documents that contain a test item, found by an equi-join on the item's rarest long word.
+
+    Words travel with ids alone; a text joins once, for the candidates that share the word.
+    """
+    split = lambda c: F.explode(F.array_distinct(F.split(c, r"[^\p{L}]+")))
+    words = t.benchmark.select(F.col("item_id").alias("case_id"), split("text").alias("w")).where("length(w) > 3")
+    d = t.kept("golden_words", lambda: t.wide("documents").select(F.col("doc_id").alias("id"), split("text").alias("w")).join(words.select("w").distinct(), "w", "left_semi"))
+    df = d.groupBy("w").agg(F.count("*").alias("df"))
+    key = words.join(df, "w").groupBy("case_id").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
+    pairs = d.join(key, "w").select("case_id", "id").distinct()
+    pairs = pairs.join(t.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("item")), "case_id")
+    return pairs.join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id").where(F.contains("text", F.col("item"))).select("case_id", "id")
 
 
 def ranked_cases(t):
-    g = golden(t).select("case_id", "id", F.lit("required").alias("role"))
+    g = t.kept("golden", lambda: golden(t)).select("case_id", "id", F.lit("required").alias("role"))
     r = corpus_top(t, 10).select(F.col("query_id").alias("case_id"), "rank", "id")
     noise = t.documents.select(F.col("doc_id").alias("id"), F.col("source").isin("src1", "src2").alias("is_test"))
     r = r.join(g, ["case_id", "id"], "left").join(noise, "id")
@@ -660,6 +666,11 @@ def ranked_cases(t):
 
 
 def case_metrics(t):
+    """Metrics of every case, written once: a report reads them several times."""
+    return t.kept("case_metrics", lambda: case_metrics_plan(t))
+
+
+def case_metrics_plan(t):
     r, g = ranked_cases(t)
     m = evaluation.metrics(t.benchmark.select(F.col("item_id").alias("case_id")), r, g)
     return m.select("case_id", *[F.round(c, 6).alias(c) for c in m.columns if c.startswith(("recall", "precision", "test", "reciprocal"))], "negative_dominates")
