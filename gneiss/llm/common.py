@@ -64,6 +64,41 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     return run
 
 
+class WholeGroups:
+    """Batches in the order of a key as tables of about ``rows`` that hold all of each key they hold.
+
+    No more is held than that and one key's rows.
+    """
+
+    def __init__(self, key: str, rows: int = 200_000):
+        self.key, self.rows = key, rows
+        self.held: list[pa.RecordBatch] = []
+        self.count, self.wait = 0, rows
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        """The tables that are complete with ``batch``: one or none."""
+        if not batch.num_rows:
+            return
+        self.held.append(batch)
+        self.count += batch.num_rows
+        if self.count < self.wait:
+            return
+        table = pa.Table.from_batches(self.held).combine_chunks()
+        at = np.flatnonzero(np.diff(table.column(self.key).to_numpy()))
+        if not len(at):  # one key alone: look again when twice as much has come
+            self.held, self.wait = table.to_batches(), 2 * self.count
+            return
+        end = int(at[-1]) + 1
+        rest = table.slice(end).combine_chunks()
+        self.held, self.count, self.wait = rest.to_batches(), rest.num_rows, self.rows
+        yield table.slice(0, end).combine_chunks()
+
+    def last(self) -> Iterator[pa.Table]:
+        if self.held:
+            yield pa.Table.from_batches(self.held).combine_chunks()
+            self.held = []
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

@@ -413,6 +413,30 @@ def test_changed_passages_in_foreign_context(spark):
     assert got[100].n_repeated == got[101].n_repeated == 0
 
 
+def test_passages_among_others_with_their_least_shingles(spark):
+    """Documents between two copies hold each of the shingles that the copies' windows are dealt by."""
+    r = random.Random(31)
+    text = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, near, exact = [], [], []
+    for trial in range(40):
+        one = text(60 if trial % 2 else 50)
+        two = [*one[:25], *text(1), *one[26:]] if trial % 2 else one
+        base = 1000 * trial
+        c = []
+        for w in (one, two):
+            key, at, _, _ = passages.compact_windows(passages.Shingler(5)(" ".join(w)), 46)
+            c += [w[i : i + 5] for i in at.tolist()]
+        rows += [(base + 400, " ".join(one)), (base + 600, " ".join(two))]
+        for k, few in enumerate(c):
+            rows += [(base + at + k, " ".join(text(50) + few + text(50))) for at in (0, 500, 700)]
+        (near if trial % 2 else exact).append(base)
+    got = {x.doc_id: x for x in passages.repeated_passages(docs_of(spark, rows)).collect()}
+    found = lambda some: sum(got[b + 600].component_id == b + 400 for b in some)
+    assert found(exact) == len(exact) and found(near) >= 0.9 * len(near), (found(exact), found(near))
+    assert all(got[b + 400].n_repeated == got[b + 600].n_repeated == 50 for b in exact)
+    assert all(got[i].n_repeated == 0 for i, _ in rows if i % 1000 not in (400, 600))
+
+
 def test_families_of_copies_with_a_shared_head(spark):
     r = random.Random(8)
     text = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
