@@ -183,15 +183,17 @@ def _pack(room: int, full: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, slack: int = 8, fan_in: int = 8, per_part: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, slack: int = 8, per_part: int = 20_000, least_gain: float = 0.005) -> DataFrame:
     """Place of every piece of ``docs(doc_id, text)`` in sequences of at most ``length`` tokens.
 
     Pieces of full length are sequences of their own. The rest is dealt over partitions
     of about ``per_part`` items, packed best-fit there, and bins with at most ``slack``
-    tokens of room are emitted. Underfull bins go on as single items to a ``fan_in``-th of
-    the partitions, round after round, until one partition has packed what is left; a
-    round passes on only the underfull bins, a small part of what it got, and a bin
-    carries its members (at most ``length``), so no join is needed to place them.
+    tokens of room are emitted. Underfull bins go on as single items, dealt anew over as many
+    partitions as they need, round after round, until one partition packs what is left.
+    A bin that not even the least item left fits is emitted too, and a round that
+    joins fewer than ``least_gain`` of its items is the last: so items that
+    cannot be joined never come together in one task. A bin carries its members (at
+    most ``length``), so no join is needed to place them, and partitions hold at most 20 * ``per_part`` members on average.
 
     Null and empty texts are one piece of one token. Every row counts, repeated rows
     and ids too; a null doc_id stays null. An empty table gives no rows.
@@ -200,21 +202,26 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, slack: int = 8, fan_i
     scratch = Scratch(spark, "packing")
     cut = scratch.cut(pieces(docs, path, length))
     short = cut.where(F.col("length") < length)
-    n = short.count()
-    parts = max(1, -(-n // per_part))
+    n = members = short.count()
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     items = short.select(F.col("length").alias("size"), F.xxhash64("doc_id", "piece", "ids_crc32").alias("seed"), F.array(member).alias("members"))
-    whole = cut.where(F.col("length") == length).select(F.array(member).alias("members"))
-    done, rounds = whole, 0
-    while True:
-        last = parts == 1
+    done = cut.where(F.col("length") == length).select(F.array(member).alias("members"))
+    rounds = 0
+    while n:
+        parts = max(1, -(-n // per_part), -(-members // (20 * per_part)))
         dealt = items.repartition(parts, F.pmod(F.xxhash64("seed", F.lit(rounds)), F.lit(parts * 64))) if parts > 1 else items.coalesce(1)
-        packed = scratch.cut(dealt.mapInArrow(_pack(length, 0 if last else length - slack), ITEM + ", done boolean"))
-        done = done.unionByName(packed.where("done").select("members"))
-        if last:
+        packed = scratch.cut(dealt.mapInArrow(_pack(length, 0 if parts == 1 else length - slack), ITEM + ", done boolean"))
+        left = packed.where("not done")
+        bins, least = packed.agg(F.count("*"), F.min(F.when(~F.col("done"), F.col("size")))).first()
+        # What the round joined: its items less the bins that came out.
+        if least is None or n - bins < least_gain * n:
+            done = done.unionByName(packed.select("members"))
             break
-        items = packed.where("not done").select("size", "seed", "members")
-        parts, rounds = -(-parts // fan_in), rounds + 1
+        over = F.col("size") + F.lit(least) > length
+        done = done.unionByName(packed.where(F.col("done") | over).select("members"))
+        items = left.where(~over).select("size", "seed", "members")
+        n, members = items.agg(F.count("*"), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
+        rounds += 1
     placed = done.withColumn("sequence_id", F.monotonically_increasing_id())
     ends = F.aggregate("members", F.array(F.lit(0).cast("long")), lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + m.length)))
     flat = placed.withColumn("ends", ends).select("sequence_id", "ends", F.posexplode("members").alias("at", "m"))
