@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
         folder = "file://" + tempfile.mkdtemp(prefix="gneiss-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -162,14 +164,19 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+#: A hub's edges meet its minimum in so many parts.
+SALTS = 8
+
+
 def _star(e: DataFrame) -> DataFrame:
     """Each edge with ``m``, the least of ``u`` and its neighbours.
 
-    The minima get their own shuffle (the sum hides that they are already dealt by
-    ``u``), so both sides of the join are exchanges and AQE can split a hub's edges.
+    The minima are summed before their shuffle; then each goes to all parts of its node's edges,
+    which a hash of the other end deals, so that no task gets all edges of a hub.
     """
-    least = e.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).select((F.col("u") + 0).alias("u"), "m")
-    return e.join(least, "u")
+    least = e.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"]).drop("salt")
 
 
 def _digest(e: DataFrame) -> tuple:

@@ -8,10 +8,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch, connected_components, forest, per_batch, utf8
+from gneiss.llm.common import Scratch, WholeGroups, connected_components, forest, per_batch, utf8
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
+#: Rows of variants that one shuffle partition should have; they are read key by key.
+VARIANT_ROWS = 8_000_000
 #: Stand-in ids of classes whose rows all lack an id; real ids lie below.
 NO_ID = 1 << 62
 
@@ -78,7 +80,7 @@ def _variants(blocks: int):
 
 
 def _linked(radius: int):
-    """Edges that span the fingerprints within ``radius`` among those of one variant."""
+    """Edges that span the fingerprints within ``radius`` among those of one variant; rows come in the order of variants."""
 
     def group_edges(fp):
         fp = np.unique(fp)
@@ -97,17 +99,8 @@ def _linked(radius: int):
         keep = nodes != root
         return nodes[keep], root[keep]
 
-    def run(batches):
-        keys, fps = [], []
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-            fps.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if not keys:
-            return
-        key, fp = np.concatenate(keys), np.concatenate(fps).view(np.uint64)
-        del keys, fps
-        order = np.argsort(key, kind="stable")
-        key, fp = key[order], fp[order]
+    def edges(table):
+        key, fp = table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         two = starts[sizes == 2]
@@ -124,9 +117,23 @@ def _linked(radius: int):
             keep = nodes != root
             yield pa.RecordBatch.from_arrays([pa.array(nodes[keep].view(np.int64)), pa.array(root[keep].view(np.int64))], ["a", "b"])
 
+    def run(batches):
+        groups = WholeGroups("key")
+        for batch in batches:
+            for table in groups.add(batch):
+                yield from edges(table)
+        for table in groups.last():
+            yield from edges(table)
+
     return run
 
 
+def meet(fps: DataFrame, blocks: int, parts: int) -> DataFrame:
+    """``(a, b)``: edges that span the fingerprints of ``fps(fp)`` within three bits."""
+    variants = fps.mapInArrow(_variants(blocks), "key long, fp long")
+    return variants.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linked(3), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, blocks: int = 4) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row of ``docs(doc_id, text)``.
 
@@ -141,7 +148,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, blocks: int
 
     A variant's group holds distinct fingerprints only, at most ``49 * 2**16`` of
     them for four blocks; it is compared in blocks and leaves a spanning forest,
-    not its pairs. Null and empty texts have fingerprint zero and link like others;
+    not its pairs. Variants are sorted in their partitions and read group by group. Null and empty texts have fingerprint zero and link like others;
     repeated rows each get their row; a row without doc_id keeps null and its class
     takes the smallest id present (null if there is none). Ids lie below 2**62.
     An empty table gives an empty result; other columns are ignored.
@@ -150,8 +157,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, blocks: int
     fps = scratch.cut(fingerprints(docs, words, seed))
     least = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.shiftrightunsigned("fp", 3))
     own = scratch.cut(fps.groupBy("fp").agg(least.alias("rep")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = own.select("fp").mapInArrow(_variants(blocks), "key long, fp long").repartition(parts, "key").mapInArrow(_linked(3), "a long, b long")
+    variants = sum(65 - bin(mask).count("1") for mask in block_masks(blocks))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() * variants // VARIANT_ROWS))
+    met = meet(own.select("fp"), blocks, parts)
     edges = scratch.cut(met.distinct())
     ends = edges.join(own.withColumnsRenamed({"fp": "a", "rep": "ra"}), "a").join(own.withColumnsRenamed({"fp": "b", "rep": "rb"}), "b")
     classes = connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)

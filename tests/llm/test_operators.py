@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.llm import chat_tools, common, decontam, embed_graph, entry, licenses, line_dedup, packing, passages, sharding, simhash, toxicity
@@ -91,7 +92,7 @@ def test_ball_hashing_finds_every_pair_within_three_bits(spark, blocks):
             fps.add(b ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 5))))
     fps = sorted(fps)
     df = spark.createDataFrame([(np.int64(np.uint64(f)).item(),) for f in fps], "fp long").repartition(3)
-    met = df.mapInArrow(simhash._variants(blocks), "key long, fp long").repartition(5, "key").mapInArrow(simhash._linked(3), "a long, b long").collect()
+    met = simhash.meet(df, blocks, 5).collect()
     got = classes([(x.a % 2**64, x.b % 2**64) for x in met], fps)
     want = classes([(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin(a ^ b).count("1") <= 3], fps)
     assert got == want
@@ -244,6 +245,35 @@ def test_packing(spark, odd):
         assert len(bins) <= sum(r.length for r in got) / 64 * 1.05 + 2
 
 
+@pytest.mark.parametrize(("tokens", "per_part"), [((1500, 1500), 40), ((300, 700), 25), ((30, 2047), 25)])
+def test_packing_rounds_end_without_one_task_for_all(spark, monkeypatch, tokens, per_part):
+    r, sizes, held = random.Random(4), [], []
+    cut = common.Scratch.cut
+
+    def spy(self, df):
+        back = cut(self, df)
+        if "done" in df.columns and len(held) < 20:
+            held.append([x[0] for x in back.groupBy(F.input_file_name().alias("f")).agg(F.sum(F.size("members"))).select("sum(size(members))").collect()])
+        return back
+
+    monkeypatch.setattr(packing.Scratch, "cut", spy)
+    word = packing.tokenizer(entry.vocabulary())
+    one = len(word("the")) // 4
+    rows = [(i, " ".join(["the"] * ((r.randint(*tokens) - 1) // one))) for i in range(300)]
+    got = packing.pack(docs_of(spark, rows), entry.vocabulary(), per_part=per_part).collect()
+    assert sorted(x.doc_id for x in got) == [i for i, _ in rows]
+    bins = defaultdict(list)
+    for x in got:
+        bins[x.sequence_id].append((x.offset, x.length))
+    for b in bins.values():
+        b.sort()
+        assert all(at == sum(n for _, n in b[:k]) for k, (at, _) in enumerate(b)) and sum(n for _, n in b) <= 2048
+    best = len(set(packing.best_fit([x.length for x in got], 2048)))
+    assert len(bins) <= 1.1 * best + 1
+    if tokens[0] * 2 > 2048:  # nothing can be joined: no task ever gets all
+        assert max(max(h) for h in held) <= 3 * per_part, held
+
+
 def test_word_bpe_equals_the_library():
     bpe = packing.WordBpe(entry.vocabulary())
     texts = ["", " ", "a\x1cb", "ΣΑΣ", "İx é", "<|endoftext|> hi<|endoftext|>", "don't We'LL 12½² ß a_b --'s's", " x\u0085y", "日本 語", "L'été 'tis", "éa ﬁ", "퟿ ªº", "ſ K"]
