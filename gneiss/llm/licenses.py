@@ -74,12 +74,8 @@ RULES = [
 
 #: A sentence ends at a newline, or at its last mark before white space.
 END = re.compile(r"\n|[.!?:;]+[\x20\x09-\x0D]+")
-WORDS = re.compile(r"[a-z0-9]+")
+WORDS, LETTER = re.compile(r"[a-z0-9]+"), re.compile(r"[^\W_]")
 LOWER = {c: c + 32 for c in range(65, 91)}
-#: ASCII characters that normalising drops at a sentence's start, and letters that known
-#: first parts are looked up by before a sentence is normalised (none is shorter).
-MARKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
-STEM = 3
 #: Numbers or letters of list items: before a sentence, or cut off as one of their own.
 ITEM, NUMBER = re.compile(r"[^a-z0-9]*(?:[0-9]{1,2}|[a-z])\)\s+"), re.compile(r"[^a-z0-9]*(?:[0-9]{1,2}|[a-z])\)?", re.ASCII)
 #: Stands for what is no sentence: list numbers and lines of marks alone, as in comments.
@@ -103,11 +99,12 @@ class RuleBook:
             self.of[parts[0]] += ((name, *parts),)
         for parts in self.of:
             self.of[parts] = tuple(sorted(self.of[parts], key=lambda p: (-len(p), p[0])))
-        self.stems = {p[:STEM] for p in self.of}
         # By first word: whole known sentences as words, longest first.
         self.words: dict[str, list[tuple[str, list[str]]]] = {}
         for name, text in sorted(sentences.items(), key=lambda x: (-len(normalise(x[1]).split()), x[0])):
             self.words.setdefault(normalise(text).split()[0], []).append((name, normalise(text).split()))
+        #: A known sentence and its first part begin with the same word, so others need not be normalised.
+        self.begins = frozenset(self.words)
         self.rules: dict[str, list[tuple[int, str, list[str]]]] = {}
         for n, (licence, ids) in enumerate(rules):
             self.rules.setdefault(ids[0], []).append((n, licence, ids))
@@ -130,15 +127,16 @@ class RuleBook:
         i = 0
         while i < len(sentences):
             known, s = (), sentences[i]
-            start = s.lstrip(MARKS)
-            if not start or len(s) < 12 and NUMBER.fullmatch(s):
+            first = WORDS.search(s)
+            if not first and not LETTER.search(s) or len(s) < 12 and NUMBER.fullmatch(s):
                 out.append((NOTHING, i))
                 i += 1
                 continue
-            if start[1:3].find(")") >= 0:
+            if first and len(first[0]) <= 2:
                 s = ITEM.sub("", s, count=1)
-                start = s.lstrip(MARKS)
-            if start[:STEM] in self.stems:
+                first = WORDS.search(s)
+            likely = first is not None and first[0] in self.begins
+            if likely:
                 known = self.of.get(normalise(s), ())
             for name, *parts in known:
                 if normalise(s) == parts[0] and all(i + k < len(sentences) and normalise(sentences[i + k]) == p for k, p in enumerate(parts[1:], 1)):
@@ -146,7 +144,7 @@ class RuleBook:
                     i += len(parts)
                     break
             else:
-                name, n = self.over_lines(s, sentences, breaks, i) if start[:STEM] in self.stems else (None, 1)
+                name, n = self.over_lines(s, sentences, breaks, i) if likely else (None, 1)
                 out.append((name, i))
                 i += n
         return out

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -563,6 +564,68 @@ See the License for the specific language governing permissions and
 limitations under the License."""
 
 
+def test_licenses_against_a_plain_loop(spark):
+    """Texts of known sentences, marks, list numbers, wrapped lines and other words, read by definition."""
+    r = random.Random(17)
+    known = {n: licenses.normalise(t) for n, t in licenses.SENTENCES.items()}
+
+    def plain(text):
+        lines, out = text.translate(licenses.LOWER), []
+        parts, at = [], 0
+        for m in [*re.finditer(r"\n|[.!?:;]+[ \t-\r]+", lines), None]:
+            s = lines[at : m.start() if m else len(lines)]
+            if s.strip(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2003"):
+                parts.append((s, at))
+            at = m.end() if m else at
+        gap = [lines.count("\n", parts[k][1] + len(parts[k][0]), parts[k + 1][1]) > 1 for k in range(len(parts) - 1)] + [True]
+        k = 0
+        while k < len(parts):
+            s = parts[k][0]
+            if not re.search(r"[^\W_]", s) or (len(s) < 12 and re.fullmatch(r"[^a-z0-9]*([0-9]{1,2}|[a-z])\)?", s, re.ASCII)):
+                k += 1
+                continue
+            s, best = re.sub(r"^[^a-z0-9]*([0-9]{1,2}|[a-z])\)\s+", "", s), None
+            for n, want in known.items():
+                have, used = licenses.normalise(s), 1
+                while have != want and want.startswith(have + " ") and k + used < len(parts) and not gap[k + used - 1] and (more := licenses.normalise(parts[k + used][0])):
+                    have, used = f"{have} {more}", used + 1
+                if have == want and (best is None or len(want) > len(best[2])):
+                    best = (n, used, want)
+            out.append(best[0] if best else None)
+            k += best[1] if best else 1
+        hits, k = [], 0
+        while k < len(out):
+            fits = [(-len(ids), n, lic) for n, (lic, ids) in enumerate(licenses.RULES) if out[k : k + len(ids)] == ids]
+            if fits:
+                hits.append(min(fits)[1:])
+                k -= min(fits)[0]
+            else:
+                k += 1
+        return hits, sum(x is not None for x in out)
+
+    names, rows = list(licenses.SENTENCES), []
+    for i in range(300):
+        text = ""
+        rule = r.choice(licenses.RULES)[1] if r.random() < 0.7 else r.sample(names, 3)
+        for n in [*rule, *r.sample(names, r.randint(0, 2))]:
+            s = licenses.SENTENCES[n]
+            if r.random() < 0.3:
+                s = s.upper()
+            if r.random() < 0.4:
+                words = s.split(" ")
+                s = "".join(w + r.choice([" ", " ", "\n", " \n # "]) for w in words[:-1]) + words[-1]
+            s = r.choice(["", "", "“", "© ", "— ", "1. ", "a) ", "(b) ", "* ", "...", "日本 ", "other "]) + s + r.choice(["", "", "”", " ...", " more"])
+            text += s + r.choice(["\n", " ", "\n\n", " \n\t", "\nBut something else. ", "\n***\n", "\n日本語。\n"])
+        rows.append((i, text))
+    rows += [(900, "“All rights reserved.”"), (901, "© All rights reserved."), (902, "— Released under the MIT License.")]
+    got = {x.doc_id: x for x in licenses.scan(docs_of(spark, rows)).collect()}
+    for i, text in rows:
+        hits, n = plain(text)
+        assert ([(m.rule, m.licence) for m in got[i].matches], got[i].n_known) == (hits, n), text
+    assert [got[i].licences for i in (900, 901, 902)] == ["LicenseRef-proprietary", "LicenseRef-proprietary", "MIT"]
+    assert licenses.scan(docs_of(spark, [])).count() == 0
+
+
 def test_licenses_in_their_printed_form(spark):
     comment = lambda text: "\n".join(f" * {x}" for x in text.split("\n"))
     torn = MIT.replace("obtaining a copy\n", "obtaining a copy\n\n")
