@@ -23,8 +23,6 @@ STEMS = (4, 5, 6)
 #: A feature is kept if it is this many times as frequent in toxic texts, and if chance
 #: would give so lopsided a feature with at most this probability among all of them.
 LIFT, CHANCE = 20.0, 0.01
-#: Words without features between two with them: beyond so many the chain has forgotten the first.
-MIXED = 256
 
 
 def features(word: str) -> list[str]:
@@ -49,15 +47,24 @@ class Crf:
 
     def __post_init__(self):
         step = np.exp(self.move)
-        gap, m = step @ np.diag([1.0, math.exp(self.bias)]), np.eye(2)
-        self.steps, self.powers = step.tolist(), []
-        for _ in range(MIXED + 1):
-            self.powers.append(m.tolist())
-            m = m @ gap
-            m = m / m.sum()
-
+        self.steps = step.tolist()
+        # The power of a positive 2x2 matrix, but for a factor: one + ratio ** n * two, from its eigenvalues.
+        (p, q), (r, t) = (step @ np.diag([1.0, math.exp(self.bias)])).tolist()
+        root = math.sqrt((p - t) ** 2 + 4 * q * r)
+        high, low = (p + t + root) / 2, (p + t - root) / 2
+        self.ratio = low / high
+        self.one = ((p - low) / root, q / root, r / root, (t - low) / root)
+        self.two = ((high - p) / root, -q / root, -r / root, (high - t) / root)
         self.starts = frozenset(f[f.index("=") + 1 :][: STEMS[0]] for f in self.weights)
 
+    def power(self, n: int) -> tuple[float, float, float, float]:
+        """What ``n`` words without features between two do, as the entries of a matrix, but for a factor."""
+        if n == 0:
+            return 1.0, 0.0, 0.0, 1.0
+        x = self.ratio**n
+        (a, b, c, d), (e, f, g, h) = self.one, self.two
+        return a + x * e, b + x * f, c + x * g, d + x * h
+
     def emissions(self, words: list[str]) -> tuple[list[int], list[float]]:
         """Places of the words with kept features, and the words' log odds."""
         starts, weights, n = self.starts, self.weights, STEMS[0]
@@ -74,7 +81,7 @@ class Crf:
         if not at:
             return []
         (m00, m01), (m10, m11) = self.steps
-        powers, cap = self.powers, MIXED
+        power = self.power
         bias, odds = math.exp(self.bias), [math.exp(min(60.0, v)) for v in scores]
         forward, last = [], -1
         x, y = 1.0, math.exp(self.start)
@@ -83,14 +90,14 @@ class Crf:
                 y *= bias
                 last = 0
             if i:
-                (a, b), (c, d) = powers[min(i - last - 1, cap)]
+                a, b, c, d = power(i - last - 1)
                 x, y = x * a + y * c, x * b + y * d
                 x, y = x * m00 + y * m10, x * m01 + y * m11
             y *= e
             x, y = x / (x + y), y / (x + y)
             forward.append((x, y))
             last = i
-        (a, b), (c, d) = powers[min(length - 1 - last, cap)]
+        a, b, c, d = power(length - 1 - last)
         x, y = a + b, c + d
         out = [0.0] * len(at)
         for k in range(len(at) - 1, -1, -1):
@@ -99,7 +106,7 @@ class Crf:
             if k:
                 y *= odds[k]
                 x, y = m00 * x + m01 * y, m10 * x + m11 * y
-                (a, b), (c, d) = powers[min(at[k] - at[k - 1] - 1, cap)]
+                a, b, c, d = power(at[k] - at[k - 1] - 1)
                 x, y = a * x + b * y, c * x + d * y
                 x, y = x / (x + y), y / (x + y)
         return out
