@@ -117,6 +117,7 @@ class Automaton:
     def _run(self, tokens, a, b, hit, items) -> None:
         nexts, link, length, window = self.next, self.link, self.length, self.window
         state = matched = 0
+        done = a  # a match starts no earlier than those before it, so all behind its start and before this is marked
         for i in range(a, b):
             t = tokens[i]
             while state and t not in nexts[state]:
@@ -126,7 +127,8 @@ class Automaton:
                 state = nexts[state][t]
                 matched += 1
             if matched >= window:
-                hit[i - matched + 1 : i + 1] = True
+                hit[max(i - matched + 1, done) : i + 1] = True
+                done = i + 1
                 items |= self.items[self.at_window[state]]
             for n, name in self.ends[state]:
                 if n <= matched:
@@ -134,10 +136,11 @@ class Automaton:
                     items.add(name)
 
 
-def automaton_of(items: DataFrame, window: int = WINDOW, max_bytes: int = 256 << 20) -> Automaton:
+def automaton_of(items: DataFrame, window: int = WINDOW, max_bytes: int = 8 << 20) -> Automaton:
     """Automaton of ``items(item_id, text)``; a test set above ``max_bytes`` is refused, not cut.
 
-    Benchmarks do not grow with the corpus; the check keeps it so.
+    Benchmarks do not grow with the corpus; the check keeps it so. A word makes up to two states, of about
+    a kilobyte each as Python objects, so 8 MB of items are about 3 GB on the driver and in each worker.
     """
     size = items.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     if size > max_bytes:

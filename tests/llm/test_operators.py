@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -337,6 +338,31 @@ def test_forward_backward_equals_enumeration():
     assert toxicity.train(["a", "b"], [0, 0]).score([]) < 0.7
 
 
+@pytest.mark.parametrize("gap", [0, 1, 5, 400, 1000, 3000])
+def test_gaps_of_any_length_are_exact(gap):
+    """Sticky states: the power over a gap against a step for each of its words."""
+    move = np.log(np.array([[0.9995, 0.0005], [0.0004, 0.9996]]))
+    crf = toxicity.Crf({"w=bad": 3.0, "w=good": -2.0}, -0.0003, -0.5, move)
+    words = ["x", "bad", *["x"] * gap, "good", "x"]
+    at, scores = crf.emissions(words)
+    emit = [dict(zip(at, scores)).get(i, crf.bias) for i in range(len(words))]
+    step, f, b = np.exp(move), [], np.ones(2)
+    v = np.array([1.0, math.exp(crf.start + emit[0])])
+    for e in [None, *emit[1:]]:
+        if e is not None:
+            v = (v @ step) * [1.0, math.exp(e)]
+        v = v / v.sum()
+        f.append(v)
+    want = {}
+    for i in range(len(words) - 1, -1, -1):
+        p = f[i] * b
+        want[i] = p[1] / p.sum()
+        b = step @ (np.array([1.0, math.exp(emit[i])]) * b)
+        b = b / b.sum()
+    got = crf.marginals(len(words), at, scores)
+    assert at == [1, gap + 2] and np.allclose(got, [want[i] for i in at], atol=1e-9)
+
+
 def test_embedding_links_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(200, 16))
