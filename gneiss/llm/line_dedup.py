@@ -14,8 +14,10 @@ from gneiss.llm.simhash import LOWER
 
 SPACE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
-#: Filter bytes that may be broadcast; beyond it every line goes to the exact join.
-BROADCAST_BYTES = 64 << 20
+#: Filter bytes that may be broadcast; beyond it lines are dealt to the filters' shards, in so many parts each.
+BROADCAST_BYTES, SHARD_PARTS = 64 << 20, 8
+#: Frequent keys that one filter should hold.
+SHARD_KEYS = 200_000
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -39,10 +41,25 @@ class CuckooFilter:
         buckets = int(len(keys) / (SLOTS * load)) + 1
         while True:
             made = cls(buckets)
-            if all(made.insert(int(k)) for k in keys):
+            if all(made.insert(int(k)) for k in made._fill(keys)):
                 return made
             buckets = 2 * len(made.table)
 
+    def _fill(self, keys: np.ndarray) -> np.ndarray:
+        """Insert distinct keys where one of their buckets has room, all at once; the rest comes back."""
+        for other in (False, True):
+            mark, one, two = self._places(keys)
+            at = (two if other else one).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            at, mark, keys = at[order], mark[order], keys[order]
+            start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
+            rank = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+            slot = (self.table[at] != 0).sum(1) + rank
+            fits = slot < SLOTS
+            self.table[at[fits], slot[fits]] = mark[fits]
+            keys = keys[~fits]
+        return keys
+
     def _places(self, keys):
         keys = np.asarray(keys, np.uint64)
         mark = (keys >> np.uint64(48)).astype(np.uint64)
@@ -169,7 +186,7 @@ class LineIndex:
     def frequent(self) -> DataFrame:
         return self.counts.where(F.col("n_docs") >= self.threshold).select("hi", "lo")
 
-    def filters(self, shards: int = 64) -> DataFrame:
+    def filters(self, shards: int) -> DataFrame:
         """``(shard, filter)``: a cuckoo filter of each shard's frequent keys."""
 
         def build(batches):
@@ -183,32 +200,46 @@ class LineIndex:
                 made = CuckooFilter.of(_mixed(np.concatenate(keys))).to_bytes()
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([made], pa.binary())], ["shard", "filter"])
 
-        # A shard is lo modulo shards as unsigned, the same in both places.
-        dealt = F.pmod(F.pmod(F.col("lo"), F.lit(shards)) + F.lit((1 << 64) % shards) * (F.col("lo") < 0).cast("int"), F.lit(shards))
-        return self.frequent().select("lo").repartition(min(shards, 16), dealt).mapInArrow(build, "shard int, filter binary")
+        return self.frequent().select("lo").repartition(max(1, shards // 4), _shard_of("lo", shards)).mapInArrow(build, "shard int, filter binary")
 
-    def clean(self, docs: DataFrame, shards: int = 64) -> DataFrame:
+    def clean(self, docs: DataFrame, shards: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """``docs`` with every line of a frequent key taken out, plus ``n_lines`` and ``n_dropped``.
 
-        Filters go to all tasks if they are at most ``BROADCAST_BYTES`` together, and
-        leave of each document only keys that may be frequent; without them all keys
-        go on. What goes on is joined with the exact counts, so a false mark drops
-        nothing. Texts move once, to meet their frequent keys.
+        Filters hold about ``SHARD_KEYS`` keys each and leave of each document only keys that may be frequent. They
+        go to all tasks if they are at most ``broadcast_bytes`` together; else the keys are dealt to
+        their shards, each in ``SHARD_PARTS`` parts with its filter in front. What goes on is
+        joined with the exact counts, so a false mark drops nothing. Texts move once, to meet their frequent keys.
         """
         spark = docs.sparkSession
+        shards = shards or max(8, -(-self.frequent().count() // SHARD_KEYS))
         filters = self.scratch.cut(self.filters(shards))
         size = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
-        shared = None
-        if size <= BROADCAST_BYTES:
-            shared = spark.sparkContext.broadcast({r[0]: r[1] for r in filters.collect()})
         maybe = occurrences(docs, self.least_chars)
-        if shared is not None:
+        if size <= broadcast_bytes:
+            shared = spark.sparkContext.broadcast({r[0]: r[1] for r in filters.collect()})
             maybe = maybe.mapInArrow(_probe(shared, shards), maybe.schema)
+        else:
+            maybe = _probe_in_shards(maybe, filters, shards)
         hits = maybe.join(self.frequent(), ["hi", "lo"], "left_semi")
-        drops = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("lo").alias("_drop"))
-        joined = docs.join(drops, docs.doc_id.cast("long").eqNullSafe(drops._doc), "left").drop("_doc")
+        mine, drop = _unused("doc", docs), _unused("drop", docs)
+        drops = hits.groupBy(F.col("doc_id").alias(mine)).agg(F.collect_set("lo").alias(drop))
+        plain = docs.drop("n_lines", "n_dropped")
+        joined = plain.join(drops, plain.doc_id.cast("long").eqNullSafe(drops[mine]), "left").drop(mine)
         counts = [T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped")]
-        return joined.mapInArrow(_rewrite(joined.columns.index("text")), T.StructType([*docs.schema.fields, *counts]))
+        return joined.mapInArrow(_rewrite(joined.columns.index("text"), drop), T.StructType([*plain.schema.fields, *counts]))
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have, whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def _shard_of(column: str, shards: int):
+    """``column`` modulo ``shards`` as an unsigned number."""
+    return F.pmod(F.pmod(F.col(column), F.lit(shards)) + F.lit((1 << 64) % shards) * (F.col(column) < 0).cast("int"), F.lit(shards)).cast("int")
 
 
 def _mixed(keys: np.ndarray) -> np.ndarray:
@@ -232,7 +263,36 @@ def _probe(shared, shards: int):
     return run
 
 
-def _rewrite(at: int):
+def _probe_in_shards(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """Rows of ``keys(hi, lo, doc_id)`` that their shard's filter may hold, probed beside it."""
+    names = ["shard", "part", "filter", "hi", "lo", "doc_id"]
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SHARD_PARTS)).cast("int")
+    lines = keys.select(_shard_of("lo", shards).alias("shard"), part.alias("part"), F.lit(None).cast("binary").alias("filter"), "hi", "lo", "doc_id")
+    none = [F.lit(None).cast("long").alias(n) for n in ("hi", "lo", "doc_id")]
+    ahead = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARD_PARTS - 1))).alias("part"), "filter", *none)
+    parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards * SHARD_PARTS // 4)
+
+    def run(batches):
+        now, made = None, None
+        for batch in batches:
+            shard, part = (batch.column(i).to_numpy() for i in (0, 1))
+            edges = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])])) if len(shard) else np.empty(0, np.int64)
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(shard)]):
+                if (shard[a], part[a]) != now:
+                    now, data = (shard[a], part[a]), batch.column(2)[a].as_py()
+                    made = None if data is None else CuckooFilter.from_bytes(data)
+                rows = batch.slice(a, b - a)
+                rows = rows.filter(rows.column(2).is_null())
+                if made is not None and rows.num_rows:
+                    lo = rows.column(4).to_numpy().view(np.uint64)
+                    keep = made.contains(_mixed(lo // np.uint64(shards)))
+                    yield pa.RecordBatch.from_arrays([rows.column(i) for i in (3, 4, 5)], names[3:]).filter(pa.array(keep))
+
+    dealt = lines.unionByName(ahead).repartition(parts, "shard", "part").sortWithinPartitions("shard", "part", F.col("filter").isNull())
+    return dealt.mapInArrow(run, keys.schema)
+
+
+def _rewrite(at: int, dropped: str):
     def one(text, drop):
         keys = line_keys(text)
         if not drop:
@@ -245,11 +305,11 @@ def _rewrite(at: int):
 
     def run(batch):
         names = batch.schema.names
-        drops = batch.column(names.index("_drop")).to_pylist()
+        drops = batch.column(names.index(dropped)).to_pylist()
         made = [one(t, d) for t, d in zip(batch.column(at).to_pylist(), drops)]
-        columns = [pa.array([m[0] for m in made], pa.string()) if i == at else c for i, c in enumerate(batch.columns) if names[i] != "_drop"]
+        columns = [pa.array([m[0] for m in made], pa.string()) if i == at else c for i, c in enumerate(batch.columns) if names[i] != dropped]
         columns += [pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, [n for n in names if n != "_drop"] + ["n_lines", "n_dropped"])
+        return pa.RecordBatch.from_arrays(columns, [n for n in names if n != dropped] + ["n_lines", "n_dropped"])
 
     return per_batch(run)
 
@@ -267,7 +327,8 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, least_chars: int = 1) -> D
     keys of fewer than ``least_chars`` code points (empty ones) stay. Lines are split at
     newlines only; null and empty texts are one empty line, and a null text that loses
     nothing stays null. Rows of equal doc_id, null included, count as one document
-    and each is rewritten. An empty table gives no rows; other columns pass through.
+    and each is rewritten. An empty table gives no rows; other columns pass through, but for
+    any of the two names that are added.
     Within a document keys are told apart by 64 of the 128 hash bits.
     """
     return LineIndex.build(docs, threshold, least_chars).clean(docs)
@@ -277,5 +338,3 @@ def digest(cleaned: DataFrame) -> DataFrame:
     """``(doc_id, n_lines, n_dropped, kept_sha256)`` of :func:`dedup_lines`."""
     kept = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     return cleaned.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", kept.alias("kept_sha256"))
-
-

@@ -200,6 +200,23 @@ def test_line_dedup_against_brute_force(spark):
         line_dedup.BROADCAST_BYTES = saved
 
 
+def test_line_filters_in_shards_and_clashing_columns(spark, odd):
+    """Filters that are not broadcast, and documents with columns named like the operator's own."""
+    r = random.Random(3)
+    lines = [f"line {i}" for i in range(60)]
+    rows = [(i, "\n".join(r.sample(lines, r.randint(0, 20)) + [f"own {i}"])) for i in range(120)] + odd_rows()
+    schema = "doc_id long, text string, n_lines string, n_dropped int, _doc int, _drop string, doc int, Drop int"
+    df = spark.createDataFrame([(i, t, "x", 1, 2, "y", 3, 4) for i, t in rows], schema).repartition(3)
+    index = line_dedup.LineIndex.build(df)
+    key = lambda d: sorted(map(repr, line_dedup.digest(d).collect()))
+    plain = key(line_dedup.dedup_lines(docs_of(spark, rows)))
+    for given in (None, 3, 64):
+        for size in (1 << 20, 0):
+            got = index.clean(df, given, size)
+            assert key(got) == plain, (given, size)
+    assert set(got.columns) == set(df.columns) and got.first()._drop == "y" and got.first().Drop == 4
+
+
 def test_line_index_is_reversible(spark, odd):
     one, two = odd.where("doc_id < 20"), odd.where("doc_id >= 20")
     state = lambda x: Counter(map(tuple, x.counts.select("hi", "lo", "n_docs").collect()))
