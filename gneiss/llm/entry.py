@@ -61,7 +61,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_tools.format_chats(table(spark, sf_dir, "conversations"))
+    return chat_tools.format_conversations(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -123,6 +123,7 @@ SELECT k.conv_id, k.turn, CAST(0 AS INTEGER) AS seq, k.role, k.kind, k.call_id,
   CASE k.kind WHEN 'call' THEN s.answered IS NOT NULL WHEN 'result' THEN s.has_call END AS linked,
   CASE WHEN k.kind = 'call' THEN true END AS valid,
   CASE WHEN k.kind = 'call' THEN k.turn < 2 OR coalesce(d.has_call AND d.answered < k.turn, false) END AS ordered,
+  CASE WHEN k.kind = 'call' THEN false END AS cyclic, k.turn AS place_turn, CAST(0 AS INTEGER) AS place_seq, CAST(0 AS INTEGER) AS place_hops,
   CASE k.kind WHEN 'call' THEN '{"arguments":{"prompt":' || CAST(to_json(coalesce(k.text, '')) AS VARCHAR) || ',"turn":' || k.turn || '},"id":"' || k.call_id || '","name":"reply","role":"user"}'
   ELSE '{"content":' || CAST(to_json(coalesce(k.text, '')) AS VARCHAR) || coalesce(',"role":' || CAST(to_json(k.role) AS VARCHAR), '') || coalesce(',"tool_call_id":"' || k.call_id || '"', '') || '}' END AS json
 FROM k LEFT JOIN s ON s.conv_id = k.conv_id AND s.call_id = k.call_id

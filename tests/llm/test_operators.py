@@ -702,6 +702,66 @@ def test_chat_links(spark):
     assert turns.count() == len(rows) and "Python" not in turns._jdf.queryExecution().toString()
 
 
+def test_tool_calls_in_order_of_dependence(spark):
+    """Random conversations with forward, missing and cyclic dependencies: every order that can be kept is."""
+    r, rows, deps, places = random.Random(6), [], {}, {}
+    for conv in range(40):
+        for k in range(8):
+            some = [f"c{x}" for x in range(8) if x != k and (r.random() < 0.25 if x < k else r.random() < 0.05 * (conv % 4))]
+            some += ["gone"] * (r.random() < 0.1)
+            call = {"tool_calls": [{"id": f"c{k}", "name": "f", "arguments": {}, "depends_on": some}]}
+            rows.append((conv, 2 * k, "assistant", json.dumps(call)))
+            deps[conv, f"c{k}"] = some
+            if r.random() < 0.8:
+                rows.append((conv, 2 * k + (1 if r.random() < 0.9 else -1), "tool", json.dumps({"tool_call_id": f"c{k}", "content": "x"})))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat_tools.format_conversations(df).collect()
+    calls = {(x.conv_id, x.call_id): x for x in got if x.kind == "call"}
+    order = lambda x: (x.place_turn, x.place_seq, x.place_hops)
+    results = {(x.conv_id, x.call_id): x for x in got if x.kind == "result"}
+
+    def reach(conv, a):
+        seen, todo = set(), list(deps[conv, a])
+        while todo:
+            if (x := todo.pop()) not in seen and (conv, x) in deps:
+                seen.add(x)
+                todo += deps[conv, x]
+        return seen
+
+    loops = {(c, a) for c, a in deps if a in reach(c, a)}
+    assert loops and loops <= {k for k, x in calls.items() if x.cyclic}
+    for (conv, a), x in calls.items():
+        if x.cyclic:
+            assert any((conv, b) in loops for b in {a, *reach(conv, a)})
+            continue
+        for b in deps[conv, a]:
+            if (conv, b) in calls:
+                assert order(x) > order(calls[conv, b])
+                assert (conv, b) not in results or order(x) > order(results[conv, b])
+        if (conv, a) in results:
+            assert order(results[conv, a]) > order(x)
+    in_step = [x for x in calls.values() if x.ordered and not x.cyclic and (x.place_turn, x.place_hops) == (x.turn, 0)]
+    assert len(in_step) > 100
+
+
+def test_nested_schemas(spark):
+    schema = {
+        "properties": {
+            "mode": {"type": "string", "enum": ["fast", "slow"]}, "at": {"type": "object", "properties": {"x": {"type": "integer"}, "tag": {"type": "null"}}, "required": ["x"]},
+            "list": {"type": "array", "items": {"type": "object", "properties": {"n": {"type": "number"}}, "required": ["n"]}},
+        }, "required": ["mode"],
+    }
+    cases = [
+        ({"mode": "fast"}, True), ({"mode": "other"}, False), ({}, False), ({"mode": "slow", "at": {"x": 1}}, True), ({"mode": "slow", "at": {"x": "1"}}, False), ({"mode": "slow", "at": {}}, False),
+        ({"mode": "slow", "at": {"x": 1, "y": 2}}, False), ({"mode": "slow", "at": {"x": 1, "tag": None}}, True), ({"mode": "slow", "at": None}, False), ({"mode": "fast", "list": []}, True),
+        ({"mode": "fast", "list": [{"n": 1}, {"n": 1.5}]}, True), ({"mode": "fast", "list": [{"n": 1}, {"n": "x"}]}, False), ({"mode": "fast", "list": [{}]}, False), ({"mode": "fast", "list": {"n": 1}}, False), ([1], False), (None, False),
+    ]
+    rows = [(i, "t", json.dumps(c)) for i, (c, _) in enumerate(cases)] + [(len(cases), "t", "no json"), (len(cases) + 1, "u", "{}"), (len(cases) + 2, "t", None)]
+    df = spark.createDataFrame(rows, "i int, name string, arguments string")
+    got = [x.v for x in df.select("i", chat_tools.valid_arguments({"t": schema}).alias("v")).orderBy("i").collect()]
+    assert got == [w for _, w in cases] + [False] * 3
+
+
 def test_queries_cover_every_row(spark, sf):
     tables = {"op4_embedding_dedup": "embeddings", "op10_chat_tools": "conversations"}
     for name, query in entry.QUERIES.items():
