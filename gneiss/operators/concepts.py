@@ -167,3 +167,29 @@ def status(n_declarations: int, n_valid: int, n_diagnostics: int) -> str:
     if n_valid == 0:
         return "Invalid"
     return "ValidWithDiagnostics" if n_diagnostics else "Valid"
+
+
+def evidence_context(notes: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(entity_id, source_reference, source_fingerprint)`` of the component notes whose source is an entity: what assignments are checked against."""
+    place = F.concat(F.col("path"), F.when(F.col("start_line") > 0, F.concat(F.lit(":"), F.col("start_line").cast("string"))).otherwise(""))
+    n = notes.where("kind = 'Component' and source_id is not null").select(F.col("source_id").alias("entity_id"), "source_fingerprint")
+    return n.join(entities.select(F.col("id").alias("entity_id"), place.alias("source_reference")), "entity_id").select("entity_id", "source_reference", "source_fingerprint")
+
+
+def ordered_diagnostics(diagnostics: DataFrame) -> DataFrame:
+    """By scope, concept, entity and code; nulls first."""
+    return diagnostics.orderBy(*[F.asc_nulls_first(c) for c in ("scope", "concept_id", "entity_id", "code")])
+
+
+def promote(assignments: DataFrame, destination: DataFrame) -> DataFrame:
+    """Assignments bound to another branch's references and fingerprints; all or nothing.
+
+    Raises if one has no entity there, or if the destination names an entity twice.
+    """
+    if not destination.groupBy("entity_id").count().where("count > 1").isEmpty():
+        raise ValueError("the destination names an entity twice")
+    bound = rebind(assignments, destination)
+    lost = bound.where("code is not null").count()
+    if lost:
+        raise ValueError(f"{lost} assignments have no entity on the destination branch")
+    return bound.select(*[c for c in assignments.columns if c not in ("source_reference", "source_fingerprint")], F.col("new_reference").alias("source_reference"), F.col("new_fingerprint").alias("source_fingerprint"))

@@ -68,3 +68,36 @@ def graph_evidence(lines: Column, budget: int = BUDGETS["GraphEvidence"]) -> Col
     """Lines of graph evidence as one text; null, silently, if they are above their budget."""
     text = F.array_join(lines, "\n")
     return F.when(token_estimate(text) <= budget, text)
+
+
+def ensure_compatible(manifest: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """The one row of ``manifest`` if it fits the one of ``snapshot``, both (repository_id, branch, schema, analyzer_version); else its use raises."""
+    names = ("repository_id", "branch", "schema", "analyzer_version")
+    both = manifest.crossJoin(snapshot.select(*[F.col(n).alias("_" + n) for n in names]))
+    same = F.lit(True)
+    for n in names:
+        same &= F.col(n).eqNullSafe(F.col("_" + n))
+    # A filter on the error cannot be pruned away, as a column could.
+    return both.where(F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("notes are stale or belong to another repository or branch")).cast("boolean"))).select(*manifest.columns)
+
+
+def build(understandings: DataFrame, facts: DataFrame, notes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``(query_id, content, tokens, over)``: each query's whole context, within the hard limit.
+
+    Mandatory are ``understandings(query_id, content)``, ``facts(query_id, content)``, root and architecture notes, and graph
+    evidence ``evidence(query_id, line)`` that fits its budget. Notes are those of :func:`note_segments`; the last
+    optional ones go until the rest fits. Raises if the mandatory part alone is above the limit.
+    """
+    tokens = token_estimate(F.col("content"))
+    segment = lambda df, ordinal, kind, must: df.select("query_id", ordinal.alias("ordinal"), F.lit(kind).alias("kind"), "content", tokens.alias("tokens"), F.lit(must).alias("mandatory"))
+    at = lambda place: F.struct(F.lit(place).alias("part"), F.lit(0).cast("long").alias("rank"))
+    out = segment(understandings, at(0), "InitiativeUnderstanding", True).unionByName(segment(facts, at(1), "RepositoryIdentity", True))
+    kinds = [("RootAndArchitecture", "RootNote", 2, True), ("ProjectNote", "ProjectNote", 3, False), ("ComponentNote", "ComponentNote", 4, False)]
+    taken = note_segments(notes, {name: BUDGETS[name] for name, *_ in kinds})
+    for name, kind, place, must in kinds:
+        some = taken.where(F.col("class") == name)
+        out = out.unionByName(segment(some, F.struct(F.lit(place).alias("part"), F.col("rank").cast("long").alias("rank")), kind, must))
+    lines = evidence.groupBy("query_id").agg(graph_evidence(F.array_sort(F.collect_list("line"))).alias("content")).where("content is not null")
+    out = fit(out.unionByName(segment(lines, at(5), "GraphEvidence", True)))
+    done = render(out)
+    return done.where(F.when(F.col("over"), F.raise_error(F.lit("the mandatory context is above the hard limit")).cast("boolean")).otherwise(True))

@@ -60,7 +60,7 @@ def merge(previous: DataFrame, regenerated: DataFrame, invalidated: DataFrame, k
     return kept.unionByName(regenerated.select(*previous.columns))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(seed, node)``: every node reachable along ``edges(source_id, target_id)`` from ``seeds(seed)``, seeds included.
 
     Breadth first with the visited pairs taken out of each frontier, so cycles end.
@@ -70,13 +70,12 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> D
     step = keep.cut(edges.select("source_id", "target_id").distinct())
     frontier = keep.cut(seeds.select("seed", F.col("seed").alias("node")).distinct())
     visited = frontier
-    for _ in range(max_rounds):
+    while True:
         new = frontier.join(step, frontier.node == step.source_id).select("seed", F.col("target_id").alias("node")).distinct()
         frontier = keep.cut(new.join(visited, ["seed", "node"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return visited
         visited = visited.unionByName(frontier)
-    return visited
 
 
 def dependents(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -99,15 +98,24 @@ def top_level(nodes: DataFrame, contains: DataFrame, types: list[str]) -> DataFr
     return nodes.where(F.col("entity_type").isin(types)).join(inside, nodes.id == inside.child, "left_anti")
 
 
-def nearest_ancestor(nodes: DataFrame, contains: DataFrame, kind: str, depth: int = 6) -> DataFrame:
-    """``(id, ancestor)``: walking up the parents, the first of type ``kind``; null if none within ``depth``."""
-    up = parents(contains)
+def nearest_ancestor(nodes: DataFrame, contains: DataFrame, kind: str) -> DataFrame:
+    """``(id, ancestor)``: walking up the parents, the first of type ``kind``; null if there is none.
+
+    Pointers double, so a tree of any depth takes rounds by its logarithm: each node either knows its answer, has nothing
+    above, or jumps to where its pointer's pointer leads. A node that a cycle of parents holds has no ancestor of its own kind.
+    """
+    keep = Lineage(nodes.sparkSession, "ancestors")
     kinds = nodes.select(F.col("id").alias("at"), F.col("entity_type").alias("_kind"))
-    walk = nodes.select("id", F.col("id").alias("at"), F.lit(None).cast("string").alias("ancestor"))
-    for _ in range(depth):
-        walk = walk.join(up.withColumnsRenamed({"child": "at", "parent": "next"}), "at", "left").select("id", F.col("next").alias("at"), "ancestor")
-        walk = walk.join(kinds, "at", "left").select("id", "at", F.when(F.col("ancestor").isNotNull(), F.col("ancestor")).when(F.col("_kind") == kind, F.col("at")).alias("ancestor"))
-    return walk.select("id", "ancestor")
+    walk = parents(contains).select(F.col("child").alias("id"), F.col("parent").alias("at")).join(kinds, "at", "left")
+    walk = keep.cut(walk.select("id", F.when(F.coalesce(F.col("_kind") == kind, F.lit(False)), F.col("at")).alias("ancestor"), F.when(F.coalesce(F.col("_kind") != kind, F.lit(True)), F.col("at")).alias("at")))
+    n, limit = walk.count(), 1
+    while limit < 2 * n:  # in so many steps every path is at its end, unless it goes round
+        above = walk.select(F.col("id").alias("at"), F.col("ancestor").alias("_a"), F.col("at").alias("_next"))
+        if walk.where("ancestor is null and at is not null").isEmpty():
+            break
+        walk = keep.cut(walk.join(above, "at", "left").select("id", F.coalesce("ancestor", "_a").alias("ancestor"), F.when(F.col("ancestor").isNull() & F.col("_a").isNull(), F.col("_next")).alias("at")))
+        limit *= 2
+    return nodes.select("id").join(walk.select("id", "ancestor"), "id", "left")
 
 
 def expand(selected: DataFrame, edges: DataFrame, candidates: DataFrame, most: int = 5) -> DataFrame:
@@ -161,3 +169,8 @@ def evidence_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def name_tokens(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", tokens(F.col("name")).alias("tokens"))
+
+
+def ordered_relations(edges: DataFrame) -> DataFrame:
+    """Edges by source, ordinal of their type, and target."""
+    return edges.orderBy("source_id", ordinal(F.col("relation_type"), RELATION), "target_id")

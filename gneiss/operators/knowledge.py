@@ -93,3 +93,65 @@ def stored_state(manifest: DataFrame, stored: DataFrame) -> DataFrame:
     """One row: managed notes that are missing or changed, and files that no manifest names."""
     both = manifest.select(F.lower("path").alias("k"), F.col("content_hash").alias("m")).join(stored.select(F.lower("path").alias("k"), F.col("content_hash").alias("s"), F.lit(True).alias("there")), "k", "full")
     return both.agg(F.count_if(F.col("m").isNotNull() & F.col("there").isNull()).alias("missing"), F.count_if(F.col("m") != F.col("s")).alias("changed"), F.count_if(F.col("m").isNull()).alias("orphaned"))
+
+
+def _note(rows: DataFrame, kind: str, key, path, source, body) -> DataFrame:
+    """A note per row; its fingerprint is that of its body."""
+    print_ = fingerprint(F.lit(kind), body)
+    head = front_matter([("kind", F.lit(kind)), ("source", source), ("fingerprint", print_)])
+    return rows.select(key.alias("identity"), F.lit(kind).alias("kind"), path.alias("path"), source.alias("source_id"), print_.alias("source_fingerprint"), F.concat(head, body).alias("content"))
+
+
+def _listed(rows: DataFrame, key: str, order: list, line, most: int) -> DataFrame:
+    """``(key, list)``: the first ``most`` lines of each key, and how many more there are."""
+    top = top_per_key(rows.select(key, *order, line.alias("_line")), [key], [F.col(o) for o in order] + [F.col("_line")], most)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_line"))), lambda x: F.concat(F.lit("- "), x._line)), "\n")
+    more = F.max("additional")
+    return top.groupBy(key).agg(F.concat(lines, F.when(more > 0, F.concat(F.lit("\n- additional: "), more.cast("string"))).otherwise("")).alias("list"))
+
+
+def project_notes(projects: DataFrame, components: DataFrame, references: DataFrame) -> DataFrame:
+    """A note per project of ``projects(id, name, relative_path)``: its ``references(id, target)``, what refers to it, and its ``components(project_id, name, path)``."""
+    path = F.concat(F.lit("projects/"), note_file_name(F.col("name"), F.col("id")))
+    label = projects.select(F.col("id").alias("_id"), wiki_link(path, F.col("name")).alias("_link"))
+    to = references.join(label, references.target == label._id).select("id", "_link")
+    back = references.select(F.col("target").alias("id"), F.col("id").alias("_from")).join(label, F.col("_from") == label._id).select("id", "_link")
+    inside = components.select(F.col("project_id").alias("id"), wiki_link(F.concat(F.lit("components/"), note_file_name(F.col("name"), F.col("id"))), F.col("name")).alias("_link"))
+    rows = projects
+    for name, part, most in (("references", to, LINKS), ("referenced", back, LINKS), ("components", inside, COMPONENTS)):
+        rows = rows.join(_listed(part, "id", ["_link"], F.col("_link"), most).withColumnRenamed("list", "_" + name), "id", "left")
+    body = F.concat_ws(
+        "\n", F.concat(F.lit("# "), F.col("name")), F.concat(F.lit("path: "), F.col("relative_path")), F.lit("## References"), F.coalesce("_references", F.lit("")),
+        F.lit("## Referenced by"), F.coalesce("_referenced", F.lit("")), F.lit("## Components"), F.coalesce("_components", F.lit("")),
+    )
+    return _note(rows, "Project", F.concat(F.lit("project:"), F.col("id")), path, F.col("id"), body)
+
+
+def overview_notes(repository: DataFrame, projects: DataFrame, languages: DataFrame, relations: DataFrame) -> DataFrame:
+    """The root index and the architecture overview of each ``repository(id, name)``.
+
+    ``projects(repository_id, id, name)`` are linked from the root; ``languages(repository_id, language, files)`` and
+    ``relations(repository_id, relation_type, n)`` are listed by number.
+    """
+    link = wiki_link(F.concat(F.lit("projects/"), note_file_name(F.col("name"), F.col("id"))), F.col("name"))
+    listed = _listed(projects.select(F.col("repository_id"), link.alias("_l")), "repository_id", ["_l"], F.col("_l"), LINKS)
+    spoken = _listed(languages.withColumn("_down", -F.col("files")), "repository_id", ["_down"], F.concat_ws(": ", "language", F.col("files").cast("string")), LANGUAGES).withColumnRenamed("list", "spoken")
+    kinds = _listed(relations.withColumn("_down", -F.col("n")), "repository_id", ["_down"], F.concat_ws(": ", "relation_type", F.col("n").cast("string")), LINKS).withColumnRenamed("list", "kinds")
+    rows = repository.withColumn("repository_id", F.col("id"))
+    for part in (listed, spoken, kinds):
+        rows = rows.join(part, "repository_id", "left")
+    none = F.lit("")
+    root = F.concat_ws("\n", F.concat(F.lit("# "), F.col("name")), F.lit("## Projects"), F.coalesce("list", none), F.lit("[[architecture|Architecture]]"))
+    plan = F.concat_ws("\n", F.concat(F.lit("# Architecture of "), F.col("name")), F.lit("## Languages"), F.coalesce("spoken", none), F.lit("## Relations"), F.coalesce("kinds", none))
+    none_id = F.lit(None).cast("string")
+    one = _note(rows, "RootIndex", F.concat(F.lit("root:"), F.col("id")), F.lit("index.md"), none_id, root)
+    return one.unionByName(_note(rows, "ArchitectureOverview", F.concat(F.lit("architecture:"), F.col("id")), F.lit("architecture.md"), none_id, plan))
+
+
+def log_note(notes: DataFrame) -> DataFrame:
+    """The log: how many notes of each kind there are, and the fingerprint of all."""
+    counts = notes.groupBy("kind").agg(F.count("*").alias("n"))
+    lines = counts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "n"))), lambda x: F.concat(F.lit("- "), x.kind, F.lit(": "), x.n.cast("string"))), "\n").alias("lines"))
+    rows = lines.crossJoin(log_fingerprint(notes))
+    body = F.concat_ws("\n", F.lit("# Log"), F.col("lines"), F.concat(F.lit("fingerprint: "), F.col("fingerprint")))
+    return _note(rows, "Log", F.lit("log"), F.lit("log.md"), F.lit(None).cast("string"), body)

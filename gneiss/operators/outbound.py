@@ -250,3 +250,16 @@ def redact(text: Column, root: str | None = None, home: str | None = None, most:
     out = F.regexp_replace(out, r"(?i)\b(password|pwd|secret|token|api[_-]?key|client[_-]?secret)\b(\s*[:=]\s*)(\"[^\"]*\"|'[^']*'|[^\s,;]+)", "$1$2<redacted>")
     out = F.regexp_replace(out, r"(?i)\b([a-z][a-z0-9+.-]*://)[^/\s@]+@", "$1")
     return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most), F.lit("..."))).otherwise(out)
+
+
+def assessment_lines(assessed: DataFrame, ident: str = "request_id", kind: str = "Exact", most: int = 512) -> DataFrame:
+    """``(ident, lines)``: an assessment for reading: its kind, each policy in catalogue order, and the outcome.
+
+    Only names of the catalogue are shown, never a text that was inspected; a policy that is not of the catalogue is shown as such.
+    """
+    state = lambda p: F.when(F.array_contains("blocked_policies", p), "Blocked").otherwise("Allowed")
+    known = F.array(*[F.lit(p) for p, _ in POLICIES])
+    lines = [F.lit(f"Assessment: {kind}"), *[F.concat(F.lit(p + ": "), state(p)) for p, _ in POLICIES]]
+    alien = F.when(F.size(F.array_except("blocked_policies", known)) > 0, F.array(F.lit("Diagnostic: unknown policy"))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(F.array(*lines), alien, F.array(F.concat(F.lit("Overall: "), F.col("outcome"))))
+    return assessed.select(ident, F.transform(every, lambda x: F.substring(F.regexp_replace(x, r"\p{Cntrl}", " "), 1, most)).alias("lines"))

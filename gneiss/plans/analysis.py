@@ -152,3 +152,26 @@ def review(results: list[dict]) -> str:
     cell = lambda v: re.sub(r"[\x00-\x1f|]", " ", str(v))[:96]
     rows = [f"| {cell(r['case'])} | {r['run']} | {cell(r['status'])} |" for r in results]
     return "\n".join(["| case | run | status |", "|---|---|---|", *rows])
+
+
+class FakeProvider:
+    """Answers from fixtures, the same for the same request; it counts its calls and needs no network."""
+
+    def __init__(self, understanding: dict, recommendations: list[dict]):
+        self.understanding, self.recommendations, self.calls = understanding, recommendations, []
+
+    def __call__(self, request: Request) -> dict:
+        self.calls.append(request.stage)
+        usage = {"input": -(-len(request.system + request.user) // 4), "output": 0}
+        if request.stage == "Understanding":
+            return {"understanding": self.understanding, "usage": usage}
+        return {"recommendations": self.recommendations, "usage": usage}
+
+
+def govern(analysis: Analysis, validate: Callable[[list[dict]], list[str]], comply: Callable[[list[dict]], list[list[str]]]) -> list[dict]:
+    """Recommendations with their validation status and disposition: rejected where a blocking policy is violated, else for review unless validated."""
+    out = []
+    for row, status, policies in zip(analysis.recommendations, validate(analysis.recommendations), comply(analysis.recommendations)):
+        disposition = "Rejected" if "Violated" in policies else "Accepted" if status == "Validated" and "Unknown" not in policies else "NeedsReview"
+        out.append(row | {"status": status, "disposition": disposition})
+    return out

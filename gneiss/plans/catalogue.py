@@ -273,7 +273,7 @@ def children_lists(spark, t):
 @query(f"""WITH RECURSIVE up AS (SELECT target_id AS child, min(source_id) AS parent FROM {CONTAINS} GROUP BY target_id), walk AS (SELECT id, id AS node, 0 AS d FROM {NODES} UNION ALL SELECT w.id, up.parent, d + 1 FROM walk w JOIN up ON w.node = up.child)
 SELECT n.id, a.ancestor FROM {NODES} n LEFT JOIN (SELECT id, min_by(node, d) AS ancestor FROM walk WHERE d > 0 AND starts_with(node, 'R') GROUP BY id) a ON n.id = a.id""")
 def nearest_ancestor(spark, t):
-    return graph.nearest_ancestor(all_nodes(t), contains_edges(t), "Namespace", 4)
+    return graph.nearest_ancestor(all_nodes(t), contains_edges(t), "Namespace")
 
 
 @query("""WITH sel AS (SELECT n_nationkey AS query_id, 'S' || s_suppkey AS id FROM nation JOIN supplier ON s_nationkey = n_nationkey), e AS (SELECT DISTINCT 'O' || l_orderkey AS o, 'S' || l_suppkey AS s FROM lineitem)

@@ -67,19 +67,23 @@ def sanitize_remote(url: Column) -> Column:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """``(relative_path, extension, language, size_bytes, content_hash, last_write_utc)`` of a tree.
 
-    The tree is read by Spark's binary source, so only contents that are hashed are read;
-    excluded directories and links are left out on the driver-free side by path. A
-    file that may not be hashed has a null hash.
+    The tree is listed by Spark's binary source without contents; only files that may be hashed are read, so one of any
+    size is listed. Excluded directories are left out by path. A file that may not be hashed, or
+    cannot be read, has a null hash.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root)
     base = F.regexp_replace(F.lit(str(root)), "^file:/*", "/")
-    path = F.regexp_replace(F.regexp_replace(F.url_decode("path"), "^file:/*", "/"), F.concat(F.lit("^"), F.regexp_replace(base, r"([.\\+*?\[^\]$(){}=!<>|:#-])", r"\\$1"), F.lit("/?")), "")
-    rows = files.withColumn("relative_path", path).where(~excluded(F.concat(F.lit("./"), F.col("relative_path"))))
+    under = F.concat(F.lit("^"), F.regexp_replace(base, r"([.\\+*?\[^\]$(){}=!<>|:#-])", r"\\$1"), F.lit("/?"))
+
+    def listed():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").option("ignoreCorruptFiles", "true").load(root)
+        path = F.regexp_replace(F.regexp_replace(F.url_decode("path"), "^file:/*", "/"), under, "")
+        return files.withColumn("relative_path", path).where(~excluded(F.concat(F.lit("./"), F.col("relative_path"))))
+
+    every = listed().select("relative_path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_write_utc"))
+    # The source skips a file above the filter on its length before it reads it.
+    read = listed().where((F.col("length") <= HASHED_BYTES) & hashable(F.col("relative_path"), F.col("length"))).select("relative_path", F.sha2("content", 256).alias("content_hash"))
     at = F.col("relative_path")
-    return rows.select(
-        at, extension(at).alias("extension"), language(at).alias("language"), F.col("length").alias("size_bytes"),
-        F.when(hashable(at, F.col("length")), F.sha2("content", 256)).alias("content_hash"), F.col("modificationTime").alias("last_write_utc"),
-    )
+    return every.join(read, "relative_path", "left").select(at, extension(at).alias("extension"), language(at).alias("language"), "size_bytes", "content_hash", "last_write_utc")
 
 
 def locate_root(path: str) -> str:
@@ -147,3 +151,6 @@ def solutions(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(extension(F.col(path)) == ".sln").select(F.col(path).alias("relative_path"), stem(F.col(path)).alias("name"))
 
 
+def ordered(files: DataFrame) -> DataFrame:
+    """Files by path, whatever its case."""
+    return files.orderBy(F.upper("relative_path"), "relative_path")

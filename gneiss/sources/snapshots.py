@@ -140,3 +140,31 @@ def canonical_json(value) -> str:
         return v
 
     return json.dumps(clean(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def save_results(root: str, results: DataFrame, baseline: bool = False) -> str:
+    """Write an evaluation's rows beside earlier ones; they become the baseline only where that is asked for."""
+    path = f"{root}/results/r-{hashlib.sha256(f'{time.time_ns()}'.encode()).hexdigest()[:12]}"
+    results.write.json(path)
+    if baseline:
+        atomic_write(Path(root) / "baseline", path)
+    return path
+
+
+def baseline(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame | None:
+    at = Path(root) / "baseline"
+    return spark.read.schema(schema).json(at.read_text()) if at.exists() else None
+
+
+class MemoryStore:
+    """Snapshots of one session by repository and branch; nothing is written."""
+
+    def __init__(self):
+        self.kept: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+    def save(self, repository: str, branch: str, tables: dict[str, DataFrame]) -> None:
+        self.kept[repository, branch] = dict(tables)
+
+    def load(self, repository: str, branch: str) -> tuple[str, dict[str, DataFrame]]:
+        found = self.kept.get((repository, branch))
+        return ("NotFound", {}) if found is None else ("Loaded", dict(found))
