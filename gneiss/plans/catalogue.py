@@ -230,9 +230,11 @@ CONTAINS = """(SELECT 'R' || n_regionkey AS source_id, 'N' || n_nationkey AS tar
 
 @query("SELECT source_id, target_id, resolution, path FROM (SELECT l_orderkey AS source_id, l_suppkey AS target_id, l_returnflag AS resolution, l_linestatus AS path, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY array_position(['A', 'N', 'R'], l_returnflag), l_linestatus, l_linenumber) AS r FROM lineitem) WHERE r = 1")
 def edge_dedup_best_evidence(spark, t):
-    e = t.lineitem.select(F.col("l_orderkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), F.col("l_returnflag").alias("resolution"), F.col("l_linestatus").alias("path"), "l_linenumber")
-    order = [graph.ordinal(F.col("resolution"), ["A", "N", "R"]), F.col("path"), F.col("l_linenumber")]
-    return relational.first_per_key(e, ["source_id", "target_id"], order).drop("l_linenumber")
+    letters = dict(zip(["A", "N", "R"], graph.RESOLUTION))
+    read = lambda names, c: F.try_element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), c)
+    e = t.lineitem.select(F.col("l_orderkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), F.lit("References").alias("relation_type"), read(letters, F.col("l_returnflag")).alias("resolution"), F.col("l_linestatus").alias("path"), F.col("l_linenumber").alias("start_line"))
+    back = read({v: k for k, v in letters.items()}, F.col("resolution"))
+    return graph.dedup_edges(e).select("source_id", "target_id", back.alias("resolution"), "path")
 
 
 PREVIOUS = "(SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN translate(text, 'aeiou', 'AEIOU') ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0)"
@@ -409,12 +411,21 @@ def greedy_budget_pack(spark, t):
 
 @query(f"""SELECT o, n, s, o IN (SELECT o_orderkey FROM orders) AND s IN (SELECT s_suppkey FROM supplier) AND p IN (SELECT p_partkey FROM part) AS is_valid FROM {CLAIMED}""")
 def evidence_validation(spark, t):
-    c, out = claimed(t), None
-    for df, k, name in ((t.orders, "o_orderkey", "o"), (t.supplier, "s_suppkey", "s"), (t.part, "p_partkey", "p")):
-        known = df.select(F.col(k).alias(name), F.lit(True).alias("has_" + name))
-        out = (out if out is not None else c).join(known, name, "left")
-    ok = F.col("has_o").isNotNull() & F.col("has_s").isNotNull() & F.col("has_p").isNotNull()
-    return out.select("o", "n", "s", ok.alias("is_valid"))
+    """Three references a claim, each validated against the entities; a claim is valid if all are."""
+    c = claimed(t)
+    none, here = F.lit(None).cast("string"), [F.lit("r").alias("repository_id"), F.lit("b").alias("branch")]
+    parts = F.array(*[F.concat(F.lit(x), F.col(x.lower())) for x in ("O", "S", "P")])
+    rows = c.select("o", "n", "s", "p", F.explode(parts).alias("entity_id"))
+    blank = [F.lit(None).cast("int").alias(x) for x in ("start_line", "end_line")] + [none.alias(x) for x in ("project_id", "source_entity_id", "target_entity_id", "relation_type", "relative_path", "resolution")]
+    e = rows.select("o", "n", "s", "p", "entity_id", F.concat_ws(":", "o", "n", "s", "p", "entity_id").alias("evidence_id"), F.lit("Entity").alias("kind"), *here, *blank)
+    known = [t.orders.select(ident("O", "o_orderkey").alias("id")), t.supplier.select(ident("S", "s_suppkey").alias("id")), t.part.select(ident("P", "p_partkey").alias("id"))]
+    places = F.array().cast("array<struct<path:string,start_line:int,end_line:int>>").alias("additional_locations")
+    entities = known[0].unionByName(known[1]).unionByName(known[2]).select("id", *[none.alias(x) for x in ("project_id", "entity_type", "path", "resolution")], F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), places)
+    projects = t.nation.select(ident("N", "n_nationkey").alias("id"), F.col("n_name").alias("relative_path"))
+    relations = spark.createDataFrame([], "source_id string, target_id string, relation_type string, path string, start_line int, end_line int, resolution string")
+    done = evidence.validate(e, entities, projects, relations, "r", "b")
+    claims = done.groupBy("o", "n", "s", "p").agg(F.bool_and("is_valid").alias("is_valid"), (F.count("*") / 3).cast("int").alias("k"))
+    return claims.select("o", "n", "s", "is_valid", F.explode(F.sequence(F.lit(1), "k"))).drop("col")
 
 
 @query(f"""WITH v AS (SELECT o % 10000000 AS id, n, o IN (SELECT o_orderkey FROM orders) AS ok, s % 2 = 0 AS entity, p % 3 = 0 AS project FROM {CLAIMED}),
@@ -506,10 +517,10 @@ def outbound_findings(spark, t):
     return outbound.inspect(outbound_texts(t), "doc_id")
 
 
-@query("""SELECT doc_id, CASE WHEN length(x) > 300 THEN substr(x, 1, 300) || '...' ELSE x END AS redacted FROM (SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(substr(text, 1, 200) || ' token = "abc" https://me:pw@host/x', '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')),
+@query("""SELECT doc_id, CASE WHEN length(x) > 300 THEN substr(x, 1, 300) || '...' ELSE x END AS redacted FROM (SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(text || ' token = "abc" https://me:pw@host/x', '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')),
  '(?i)\\b(password|pwd|secret|token|api[_-]?key|client[_-]?secret)\\b(\\s*[:=]\\s*)("[^"]*"|''[^'']*''|[^\\s,;]+)', '\\1\\2<redacted>', 'g'), '(?i)\\b([a-z][a-z0-9+.-]*://)[^/\\s@]+@', '\\1', 'g') AS x FROM documents)""")
 def redact_assignments(spark, t):
-    text = F.concat(F.substring("text", 1, 200), F.lit(' token = "abc" https://me:pw@host/x'))
+    text = F.concat("text", F.lit(' token = "abc" https://me:pw@host/x'))
     return t.documents.select("doc_id", outbound.redact(text).alias("redacted"))
 
 
@@ -558,10 +569,9 @@ TOPK = SCORED + ", top AS (SELECT query_id, id, score, CAST(row_number() OVER (P
 
 
 def corpus_top(t, most=retrieval.TOP_COMPONENTS):
-    s = corpus_scores(t)
-    # Names are the ids themselves here: no join is needed to rank.
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.col("id").cast("string"), "id"))
-    return s.withColumn("rank", rank).where(F.col("rank") <= most)
+    """The best documents of each item; a document's full name is its id as text."""
+    names = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("full_name")).distinct()
+    return retrieval.top(corpus_scores(t), names, most).select("query_id", "id", "score", "rank")
 
 
 @query(TOPK + " SELECT query_id, id, score, rank FROM top WHERE rank <= 12")
@@ -773,19 +783,19 @@ def mode_agreement(spark, t):
     return live.mode_agreement(t.conversations, ["conv_id"], "role").select("conv_id", F.round("agreement", 6).alias("agreement"))
 
 
-@query(f"""WITH e AS (SELECT item_id % 5 AS case_id, item_id, {tokens_sql("left(text, 40)")} AS own FROM benchmark), a AS (SELECT case_id, list_distinct(flatten(list(tk))) AS have FROM (SELECT doc_id % 5 AS case_id, {tokens_sql('text')} AS tk FROM documents WHERE doc_id % 50 < 5) GROUP BY 1)
+@query(f"""WITH e AS (SELECT item_id % 5 AS case_id, item_id, {tokens_sql("text")} AS own FROM benchmark), a AS (SELECT case_id, list_distinct(flatten(list(tk))) AS have FROM (SELECT doc_id % 5 AS case_id, {tokens_sql('text')} AS tk FROM documents) GROUP BY 1)
 SELECT e.case_id, count(*) AS n_expected, count(*) FILTER (WHERE len(list_filter(own, lambda x: NOT list_contains(have, x))) = 0) AS n_covered FROM e JOIN a USING (case_id) GROUP BY e.case_id""")
 def field_coverage(spark, t):
-    e = t.benchmark.select((F.col("item_id") % 5).alias("case_id"), F.concat_ws("", F.left("text", F.lit(40))).alias("value"), "item_id")
-    a = t.documents.where("doc_id % 50 < 5").select((F.col("doc_id") % 5).alias("case_id"), F.col("text").alias("value"))
+    e = t.benchmark.select((F.col("item_id") % 5).alias("case_id"), F.col("text").alias("value"), "item_id")
+    a = t.wide("documents").select((F.col("doc_id") % 5).alias("case_id"), F.col("text").alias("value"))
     return live.field_coverage(e.select("case_id", "value"), a).select("case_id", "n_expected", "n_covered")
 
 
-@query(f"""WITH a AS (SELECT item_id % 5 AS case_id, item_id // 5 AS expectation, i AS alternative, list_slice({tokens_sql('text')}, i * 3 + 1, i * 3 + 2) AS own FROM benchmark, (SELECT unnest([0, 1, 2]) AS i)), o AS (SELECT doc_id % 5 AS case_id, doc_id AS item, {tokens_sql('text')} AS have FROM documents),
+@query(f"""WITH a AS (SELECT item_id % 5 AS case_id, item_id // 5 AS expectation, i AS alternative, list_filter({tokens_sql('text')}, lambda x, k: k % 3 = i) AS own FROM benchmark, (SELECT unnest([0, 1, 2]) AS i)), o AS (SELECT doc_id % 5 AS case_id, doc_id AS item, {tokens_sql('text')} AS have FROM documents),
 h AS (SELECT a.case_id, expectation, alternative, item FROM a JOIN o USING (case_id) WHERE len(own) > 0 AND len(list_intersect(own, have)) = len(own)) SELECT case_id, expectation, alternative, item FROM (SELECT *, row_number() OVER (PARTITION BY case_id, expectation ORDER BY alternative, item) AS r FROM h) WHERE r = 1""")
 def expectation_match(spark, t):
     b = t.benchmark.select((F.col("item_id") % 5).alias("case_id"), F.floor(F.col("item_id") / 5).alias("expectation"), X.tokens(F.col("text")).alias("own"), F.explode(F.array(*map(F.lit, range(3)))).alias("alternative"))
-    alternatives = b.select("case_id", "expectation", "alternative", F.slice("own", F.col("alternative") * 3 + 1, F.lit(2)).alias("tokens"))
+    alternatives = b.select("case_id", "expectation", "alternative", F.filter("own", lambda x, k: (k + 1) % 3 == F.col("alternative")).alias("tokens"))
     observed = t.wide("documents").select((F.col("doc_id") % 5).alias("case_id"), F.col("doc_id").alias("item"), X.tokens(F.col("text")).alias("tokens"))
     return live.expectation_hits(alternatives, observed)
 
@@ -793,14 +803,23 @@ def expectation_match(spark, t):
 HREF = "regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)"
 
 
-@query(f"WITH l AS (SELECT DISTINCT page_id, unnest({HREF}) AS target FROM pages), known AS (SELECT DISTINCT target FROM (SELECT page_id, unnest({HREF}) AS target FROM pages) WHERE page_id % 3 = 0) SELECT page_id, target FROM l WHERE target NOT IN (SELECT target FROM known)")
+@query(f"WITH l AS (SELECT DISTINCT page_id, unnest({HREF}) AS target FROM pages), known AS (SELECT DISTINCT target FROM (SELECT page_id, unnest({HREF}) AS target FROM pages) WHERE page_id % 3 = 0) SELECT page_id, target FROM l WHERE lower(target) NOT IN (SELECT lower(target) FROM known)")
 def wiki_links_broken(spark, t):
-    every = t.pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1))).alias("target"))
-    known = every.where("page_id % 3 = 0").select("target").distinct()
-    return every.join(known, "target", "left_anti").select("page_id", "target")
-
-
-@query()
+    """Pages as notes whose links are written as wiki links; every third page's targets are notes too."""
+    targets = t.pages.select("page_id", F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: F.concat(F.lit("[["), x, F.lit("]]"))), "\n")
+    notes = targets.select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("path"), text.alias("content"))
+    known = targets.where("page_id % 3 = 0").select(F.explode("t").alias("path")).distinct().select(F.concat("path", F.lit(".md")).alias("path"), F.lit("").alias("content"))
+    broken = knowledge.broken_links(notes.unionByName(known))
+    return broken.select(F.substring_index("path", "/", -1).cast("long").alias("page_id"), "target")
+
+
+@query("""WITH m AS (SELECT o_custkey AS id, 'order ' || o_orderkey AS member FROM orders), r AS (SELECT id, member, row_number() OVER (PARTITION BY id ORDER BY member) AS k, count(*) OVER (PARTITION BY id) AS n FROM m),
+l AS (SELECT id, string_agg('- ' || member, chr(10) ORDER BY k) AS list, greatest(max(n) - 40, 0) AS more FROM r WHERE k <= 40 GROUP BY id),
+c AS (SELECT c_custkey AS id, c_name AS name, c_name || chr(10) || c_mktsegment || chr(10) || c_nationkey || chr(10) || coalesce(list, '<null>') || chr(10) || coalesce(CAST(more AS VARCHAR), '<null>') AS facts, list, more FROM customer LEFT JOIN l ON l.id = c_custkey),
+f AS (SELECT *, sha256(facts) AS fp FROM c)
+SELECT 'component:' || id AS identity, 'Component' AS kind, 'components/' || replace(name, '#', '-') || '--' || substr(sha256(CAST(id AS VARCHAR)), 1, 12) || '.md' AS path, CAST(id AS VARCHAR) AS source_id, fp AS source_fingerprint,
+ '---' || chr(10) || 'kind: "Component"' || chr(10) || 'source: "' || id || '"' || chr(10) || 'fingerprint: "' || fp || '"' || chr(10) || '---' || chr(10) || '# ' || name || chr(10) || coalesce(list, '') || CASE WHEN more > 0 THEN chr(10) || '- additional: ' || more ELSE '' END AS content FROM f""")
 def knowledge_notes(spark, t):
     c = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("path"), F.col("c_nationkey").cast("string").alias("project"))
     m = t.orders.select(F.col("o_custkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("member"))

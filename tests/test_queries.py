@@ -2,7 +2,7 @@
 
 import pytest
 
-from gneiss.plans.catalogue import QUERIES, SQL
+from gneiss.plans.more_queries import QUERIES, SQL
 from tests.oracle import connect, difference
 
 
