@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch that a function of :func:`per_batch` gets at once.
+ROWS_AT_ONCE = 1_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -60,8 +64,9 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            # Texts become Python objects a part at a time, which bounds a worker's memory.
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield fn(batch.slice(at, ROWS_AT_ONCE))
 
     return run
 

@@ -20,7 +20,7 @@ LENGTH = 2048
 #: Chunks outside of these characters are left to the tokenizers library.
 UNUSUAL = re.compile("[^!-~\xa1-\xac\xae-įĲ-ɏ]|<\\|")
 #: Chunks remembered by a Python worker before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
