@@ -14,6 +14,8 @@ class Lineage:
     def __init__(self, spark: SparkSession, name: str):
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
             folder = "file://" + tempfile.mkdtemp(prefix="gneiss-")
             spark.conf.set("spark.checkpoint.dir", folder)
         self.spark, self.root, self.count = spark, f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", 0
@@ -28,8 +30,9 @@ class Lineage:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, if it has fewer.
 
-    A small table in one file would otherwise be worked on by one core; a table of
-    many files is left as it lies.
+    A small table in one file would otherwise be worked on by one core: Spark cuts the
+    file into splits by bytes, but a row group is read by one of them. So up to one
+    split a core is dealt anew; a table of more is left as it lies.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
