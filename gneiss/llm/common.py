@@ -13,8 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch that a function of :func:`per_batch` gets at once.
-ROWS_AT_ONCE = 1_000
+#: Most rows and most Arrow bytes, but for one longer row, that a function over texts turns into Python objects at once.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1_000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about ``BYTES_AT_ONCE`` in both the JVM and the workers, unless the session sets another bound.
+
+    Batches of 10,000 rows of whole texts would else take up to 64 MB a task on either side.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_AT_ONCE))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +45,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
@@ -59,14 +69,25 @@ class Scratch:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of bounded rows and bytes; a row longer than the bound is a slice of its own."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(ROWS_AT_ONCE, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > BYTES_AT_ONCE:
+            n = -(-n // 2)
+        yield batch.slice(at, n)
+        at += n
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     """Lift a function of one Arrow batch to what ``mapInArrow`` takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Texts become Python objects a part at a time, which bounds a worker's memory.
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                yield fn(batch.slice(at, ROWS_AT_ONCE))
+            for part in slices(batch):
+                yield fn(part)
+        pa.default_memory_pool().release_unused()  # the worker may live on for other tasks
 
     return run
 

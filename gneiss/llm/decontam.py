@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import per_batch, utf8
+from gneiss.llm.common import bound_batches, per_batch, utf8
 
 WINDOW = 13
 #: Bytes other than digits, letters and those above 0x7F become spaces; A-Z become lower case.
@@ -166,6 +166,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     Repeated rows each get their row. Without items nothing is hit.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(automaton_of(items, window))
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
@@ -208,6 +209,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     the other rows, hit runs of more than ``longest`` words are cut out of the text if that
     limit is given, else they stay as they are. Null and empty texts have no hit and stay.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(automaton_of(items, window))
     at = docs.columns.index("text")
 

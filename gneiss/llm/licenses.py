@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import per_batch
+from gneiss.llm.common import bound_batches, per_batch
 
 #: Known licence sentences by identifier, as licences print them.
 SENTENCES = {
@@ -205,4 +205,5 @@ def scan(docs: DataFrame, book: RuleBook | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     schema = "doc_id long, n_sentences long, n_known long, licences string, first_licence string, matches array<struct<rule:int,licence:string,first:long,last:long>>"
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(per_batch(run), schema)

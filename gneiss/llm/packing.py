@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch
+from gneiss.llm.common import Scratch, slices
 
 LENGTH = 2048
 #: Chunks outside of these characters are left to the tokenizers library.
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         encode = tokenizer(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = encode(text or "") + b"\0\0\0\0"

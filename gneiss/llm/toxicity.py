@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import per_batch
+from gneiss.llm.common import bound_batches, per_batch
 
 WORD = re.compile(r"[^\W_]+")
 #: Rows of either label that training may take, by the order of a hash of the id.
@@ -267,6 +267,7 @@ def tag(docs: DataFrame, crf: Crf, threshold: float = 0.7) -> DataFrame:
     empty texts and texts without a known feature get the score of no evidence. A
     null doc_id is not held out. Whole texts are read, in batches, where they lie.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
@@ -292,6 +293,7 @@ def tag(docs: DataFrame, crf: Crf, threshold: float = 0.7) -> DataFrame:
 
 def reject(docs: DataFrame, crf: Crf, threshold: float = 0.7) -> DataFrame:
     """Rows of ``docs`` whose own text is not predicted toxic, columns unchanged."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     at = docs.columns.index("text")
 

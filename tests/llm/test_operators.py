@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -781,3 +782,14 @@ def test_oracle(spark, sf, name):
     columns = sorted(df.columns)
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({entry.ORACLE_SQL[name]})").fetchall()
     assert Counter(map(repr, want)) == Counter(repr(tuple(r)) for r in df.select(*columns).collect())
+
+
+def test_slices_hold_all_rows_in_bounded_slices():
+    from gneiss.llm import common
+
+    texts = ["x" * (common.BYTES_AT_ONCE + 9 if i % 997 == 0 else i % 3000) for i in range(4000)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    found = list(common.slices(batch))
+    assert pa.Table.from_batches(found).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or p.num_rows <= common.ROWS_AT_ONCE and p.nbytes <= common.BYTES_AT_ONCE for p in found)
+    assert list(common.slices(batch.slice(0, 0))) == []
