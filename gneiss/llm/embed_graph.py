@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def robust_prune(points: np.ndarray, near: np.ndarray, degree: int, alpha: float
         mine = points[at : at + 128] if len(points) == len(near) else None
         vec = points[np.maximum(c, 0)]
         to_me = 1 - np.einsum("bd,bcd->bc", mine, vec)
-        between = 1 - np.einsum("bcd,bed->bce", vec, vec)
+        between = 1 - vec @ vec.swapaxes(1, 2)
         alive = c >= 0
         for slot in range(degree):
             some = alive.any(1)
@@ -130,53 +131,79 @@ class FlatGraph:
     def in_range(self, queries: np.ndarray, link: float, beam: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, point, similarity) found at ``link - margin`` or nearer.
 
-        Greedy search from the medoid and the query's own point, ``beam`` best unexpanded
-        nodes at a time until none of them is new, then expansion of all that is in range. No list may lead
-        from one tight group to another in range, so what the search did not see is compared in blocks.
+        Greedy search from the medoid and the query's own point over the ``beam`` best nodes seen,
+        until all of them are expanded, then expansion of all that is in range. A round looks at beams and
+        neighbours only, not at all points. No list may lead from one tight group to another in
+        range, so what the search did not see is compared in blocks.
         """
         n, m = len(self.points), len(queries)
-        own = np.arange(m)
-        sims = np.full((m, n), -2.0, np.float32)
-        expanded = np.zeros((m, n), bool)
-
-        def see(q, nodes):
-            flat = np.unique(q * n + nodes)
-            q, nodes = flat // n, flat % n
-            new = sims[q, nodes] < -1.5
+        own, width = np.arange(m), min(beam, n)
+        seen, expanded = np.zeros((m, n), bool), np.zeros((m, n), bool)
+        hits: list[tuple[np.ndarray, ...]] = []  # all seen in range
+        # The beam of each query, and whether its nodes are expanded; what a round adds is merged row by row.
+        top, node, done = np.full((m, width), -2.0), np.zeros((m, width), np.int64), np.ones((m, width), bool)
+
+        def see(q, nodes, distinct=True):
+            """Pairs not seen before, and their similarities."""
+            new = np.flatnonzero(~seen[q, nodes])
+            if not distinct:
+                new = new[np.unique(q[new] * n + nodes[new], return_index=True)[1]]
             q, nodes = q[new], nodes[new]
-            for at in range(0, len(q), 200_000):
-                i, j = q[at : at + 200_000], nodes[at : at + 200_000]
-                sims[i, j] = np.einsum("id,id->i", self.points[queries[i]], self.points[j])
-
-        see(own, np.full(m, self.medoid))
-        see(own, queries)
-        width = min(beam, n)
-        for _ in range(4 * beam):
-            best = np.argpartition(-sims, width - 1, axis=1)[:, :width]
-            top = np.take_along_axis(sims, best, 1)
-            fresh = ~np.take_along_axis(expanded, best, 1) & (top > -1.5)
-            if not fresh.any():
-                break
-            pick = np.argmax(np.where(fresh, top, -3), axis=1)
-            rows = np.flatnonzero(fresh.any(1))
-            nodes = best[rows, pick[rows]]
-            expanded[rows, nodes] = True
-            see(*self.around(rows, nodes))
-        while True:
-            q, nodes = np.nonzero((sims >= link - margin) & ~expanded)
+            seen[q, nodes] = True
+            parts = [np.einsum("id,id->i", self.points[queries[q[at : at + 50_000]]], self.points[nodes[at : at + 50_000]]) for at in range(0, len(q), 50_000)]
+            sims = np.concatenate(parts or [np.empty(0)])
+            near = sims >= link - margin
+            hits.append((q[near], nodes[near], sims[near]))
+            return q, nodes, sims
+
+        def merge(q, nodes, sims):
+            """Put pairs, in the order of queries, into the beams they are good enough for."""
+            good = sims > top.min(1)[q]
+            q, nodes, sims = q[good], nodes[good], sims[good]
             if not len(q):
+                return
+            rows, begin, sizes = np.unique(q, return_index=True, return_counts=True)
+            at = np.repeat(np.arange(len(rows)), sizes), width + np.arange(len(q)) - np.repeat(begin, sizes)
+            shape = len(rows), width + int(sizes.max())
+            wide = np.full(shape, -2.0), np.zeros(shape, np.int64), np.ones(shape, bool)
+            for held, more, new in zip((top, node, done), wide, (sims, nodes, False)):
+                more[:, :width], more[at] = held[rows], new
+            best = np.argpartition(-wide[0], width - 1, axis=1)[:, :width]
+            for held, more in zip((top, node, done), wide):
+                held[rows] = np.take_along_axis(more, best, 1)
+
+        for start in (np.full(m, self.medoid), queries):
+            merge(*see(own, start))
+        for _ in range(4 * beam):
+            rows = np.flatnonzero(~done.all(1))
+            if not len(rows):
                 break
+            pick = np.argmax(np.where(done[rows], -3, top[rows]), axis=1)
+            nodes = node[rows, pick]
+            done[rows, pick] = expanded[rows, nodes] = True
+            merge(*see(*self.around(rows, nodes)))
+        at = 0
+        while at < len(hits):
+            q, nodes = (np.concatenate([x[k] for x in hits[at:]]) for k in range(2))
+            at, new = len(hits), ~expanded[q, nodes]
+            q, nodes = q[new], nodes[new]
             expanded[q, nodes] = True
-            see(*self.around(q, nodes))
-        for at in range(0, m, 512):
-            part = sims[at : at + 512]
-            np.copyto(part, self.points[queries[at : at + 512]] @ self.points.T, where=part < -1.5, casting="same_kind")
-        q, nodes = np.nonzero(sims >= link - 1e-4)
-        return q, nodes, sims[q, nodes]
-
-
-def _unit(column: pa.Array) -> np.ndarray:
-    rows = np.array(column.to_pylist(), np.float64)
+            for k in range(0, len(q), 10_000):
+                see(*self.around(q[k : k + 10_000], nodes[k : k + 10_000]), distinct=False)
+        for k in range(0, m, 512):
+            sims = self.points[queries[k : k + 512]] @ self.points.T
+            q, nodes = np.nonzero((sims >= link - 1e-4) & ~seen[k : k + 512])
+            hits.append((q + k, nodes, sims[q, nodes]))
+        q, nodes, sims = (np.concatenate(x) for x in zip(*hits))
+        near = sims >= link - 1e-4
+        return q[near], nodes[near], sims[near]
+
+
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    sizes = np.unique(pc.list_value_length(column).to_numpy())
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of lengths {sizes[0]} and {sizes[1]} cannot be compared")
+    rows = pc.list_flatten(column).to_numpy().astype(np.float64).reshape(len(column), -1)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 

@@ -419,6 +419,23 @@ def test_links_between_two_tight_groups(spark):
     assert [(x.n_links, x.component_id) for x in got] == [(n, 0) for n in want.tolist()]
 
 
+def test_a_round_of_the_search_looks_at_beams_not_at_all_points(monkeypatch):
+    r, ranked, plain = np.random.default_rng(2), Counter(), np.argpartition
+    monkeypatch.setattr(np, "argpartition", lambda x, *a, **k: ranked.update([n]) or ranked.update({n: x.size - 1}) or plain(x, *a, **k))
+    for n in (400, 1600):
+        points = r.normal(size=(n, 16))
+        points[:40] = points[0] + 0.04 * r.normal(size=(40, 16))
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+        lists = embed_graph.local_lists(points)
+        src = np.argwhere(lists >= 0)
+        graph = embed_graph.FlatGraph(points, (src[:, 0], lists[src[:, 0], src[:, 1]]))
+        ranked.clear()
+        q, y, sims = graph.in_range(np.arange(100), 0.98, 24, 0.02)
+        assert set(zip(q.tolist(), y.tolist())) == set(map(tuple, np.argwhere(points[:100] @ points.T >= 0.98 - 1e-4).tolist())) and len(q) > 200
+        assert len(q) == len(set(zip(q.tolist(), y.tolist()))) and np.allclose(sims, np.einsum("id,id->i", points[q], points[y]))
+        assert ranked[n] < 100 * 40 * 64, ranked
+
+
 def test_audit_counts_no_copies(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0], 1) for i in range(50)] + [(50, [1.0, 0.01], 1), (51, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
     assert {x.vec_id: x.exact for x in embed_graph.audit(embed_graph.representatives(df)).collect()} == {0: 1, 50: 1, 51: 0}
