@@ -7,11 +7,10 @@ import bisect
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch, WholeGroups, connected_components, per_batch, utf8
+from gneiss.llm.common import Scratch, WholeGroups, connected_components, per_batch, slices, utf8
 from gneiss.llm.simhash import LOWER
 
 SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
@@ -35,37 +34,79 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered."""
+#: A 64-bit number for each byte, A-Z as a-z, and which bytes are white space.
+_BYTES = _mix((np.frombuffer(bytes(range(256)).translate(LOWER), np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+#: Bytes of text whose words are hashed at once.
+PIECE = 1 << 20
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
-        return h
+
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, np.uint64(base)))])
+
+
+def _word_hashes(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of texts that begin at ``begin`` in ``data``, and their places; a text ends a word."""
+    space = _SPACE[data]
+    gap = np.concatenate([[True], space, [True]])
+    new = np.zeros(len(data) + 1, bool)
+    new[begin] = True
+    first = np.flatnonzero(~space & (gap[:-2] | new[:-1]))
+    last = np.flatnonzero(~space & (gap[2:] | new[1:])) + 1
+    if not len(first):
+        return np.empty(0, np.uint64), first
+    # Sums over pieces that hold whole words, so that few powers are needed.
+    hashes, at = [], 0
+    while at < len(first):
+        end = max(at + 1, int(np.searchsorted(last, first[at] + PIECE, "right")))
+        base, n = int(first[at]), int(last[end - 1] - first[at])
+        if len(_word_hashes.up) <= n:
+            _word_hashes.up, _word_hashes.down = (_powers(x, max(n, 1 << 16)) for x in (Runs.BASE, pow(Runs.BASE, -1, 1 << 64)))
+        s, e = first[at:end] - base, last[at:end] - base
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data[base : base + n]] * _word_hashes.up[:n])])
+            hashes.append(_mix((sums[e] - sums[s]) * _word_hashes.down[s]))
+        at = end
+    return np.concatenate(hashes), first
+
+
+_word_hashes.up = _word_hashes.down = np.ones(1, np.uint64)
 
 
 class Shingler:
     """64-bit hashes of word shingles; words are runs without ASCII white space, A-Z lower-cased."""
 
-    def __init__(self, size: int = SHINGLE, remembered: int = 1_000_000):
-        self.size, self.remembered = size, remembered
-        self.known = WordHashes()
-
-    def words(self, text: str | None) -> np.ndarray:
-        found = utf8(text).translate(LOWER).split()
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        return np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
+    def __init__(self, size: int = SHINGLE):
+        self.size = size
 
     def __call__(self, text: str | None) -> np.ndarray:
-        w = self.words(text)
+        return self.texts(np.frombuffer(utf8(text), np.uint8), np.zeros(1, np.int64))[0]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of all texts of an Arrow column, and where each text's begin (and the last ones end)."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, np.uint8)
+        return self.texts(data, offsets[:-1] - offsets[0])
+
+    def texts(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w, place = _word_hashes(data, begin)
+        begin = np.append(np.searchsorted(place, begin), len(w))
+        count = np.maximum(np.diff(begin) - self.size + 1, 0)
+        starts = np.concatenate([[0], np.cumsum(count)])
         n = len(w) - self.size + 1
-        if n <= 0:
-            return np.empty(0, np.uint64)
+        if n <= 0 or not starts[-1]:
+            return np.empty(0, np.uint64), starts
         out = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
             for j in range(self.size):
                 out = out * np.uint64(0x9E3779B97F4A7C15) + w[j : j + n]
-        return _mix(out)
+        whole = np.zeros(len(w) + 1, np.int8)  # shingles within one text
+        np.add.at(whole, begin[:-1], (count > 0).astype(np.int8))
+        np.add.at(whole, begin[:-1] + count, -(count > 0).astype(np.int8))
+        return _mix(out[np.cumsum(whole[:n]).astype(bool)]), starts
 
 
 def compact_windows(shingles: np.ndarray, width: int, hashes: int = HASHES) -> tuple[np.ndarray, ...]:
@@ -74,49 +115,71 @@ def compact_windows(shingles: np.ndarray, width: int, hashes: int = HASHES) -> t
     For each hash function, every run of ``width`` shingles or more has its least hash at
     the centre of exactly one window that contains it: a node of the Cartesian tree over
     the hashes with its subtree as window. Nodes with wide subtrees are just the
-    least of some run of ``width``, found by sliding minima; their bounds come from a
-    stack over them alone, since the nearest smaller hash beside a wide subtree
+    least of some run of ``width``, found by sliding minima; their bounds come from
+    them alone, since the nearest smaller hash beside a wide subtree
     is the root of a wide one itself. Of equal hashes the leftmost counts as least.
     """
+    return text_windows(shingles, np.array([0, len(shingles)]), width, hashes)[:4]
+
+
+def text_windows(shingles: np.ndarray, begin: np.ndarray, width: int, hashes: int = HASHES) -> tuple[np.ndarray, ...]:
+    """:func:`compact_windows` of texts whose shingles begin at ``begin``, as places in ``shingles``; last the number of the text."""
+    size = np.diff(begin)
+    some = np.flatnonzero(size >= width)
     n = len(shingles)
-    if n < width:
+    if not len(some):
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    salt = np.arange(1, hashes + 1, dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)
-    h = _mix(shingles[None, :] ^ salt)
-    value = (h & ~_PLACE) | (np.arange(n, dtype=np.uint64) & _PLACE)
-    blocks = -(-n // width)
-    full = np.full((hashes, blocks * width), np.uint64(_MASK))
-    full[:, :n] = value
-    cells = full.reshape(hashes, blocks, width)
-    prefix = np.minimum.accumulate(cells, axis=2).reshape(hashes, -1)
-    suffix = np.minimum.accumulate(cells[:, :, ::-1], axis=2)[:, :, ::-1].reshape(hashes, -1)
-    least = np.minimum(suffix[:, : n - width + 1], prefix[:, width - 1 : n])
-    keys, centres, lefts, rights = [], [], [], []
+        return none.astype(np.uint64), none, none, none, none
+    # Runs of ``width`` within a text: where they start, and which are the first of their text.
+    runs = size[some] - width + 1
+    starts = np.arange(int(runs.sum())) + np.repeat(begin[some] - np.cumsum(runs) + runs, runs)
+    head = np.zeros(len(starts), bool)
+    head[np.cumsum(runs) - runs] = True
+    of = np.repeat(np.arange(len(some)), runs)
+    place = np.arange(n, dtype=np.uint64) & _PLACE
+    full = np.full(-(-n // width) * width, np.uint64(_MASK))
+    out = []
     for k in range(hashes):
-        run = least[k]
-        change = np.flatnonzero(run[1:] != run[:-1])
+        h = _mix(shingles ^ np.uint64((k + 1) * 0xD6E8FEB86659FD93 & _MASK))
+        full[:n] = (h & ~_PLACE) | place
+        cells = full.reshape(-1, width)
+        prefix = np.minimum.accumulate(cells, axis=1).ravel()
+        suffix = np.minimum.accumulate(cells[:, ::-1], axis=1)[:, ::-1].ravel()
+        run = np.minimum(suffix[starts], prefix[starts + width - 1])
         # Where the least of successive runs stays the same, its place does too.
-        first = np.concatenate([[0], change + 1])
-        low = run[first]
-        at = _places(low, first, width)
+        at = np.flatnonzero(head | np.concatenate([[True], run[1:] != run[:-1]]))
+        low, text, at = run[at], of[at], _places(run[at], starts[at], width)
         order = np.argsort(at, kind="stable")
-        at, low = at[order], low[order]
+        at, low, text = at[order], low[order], text[order]
         keep = np.concatenate([[True], at[1:] != at[:-1]])
-        at, low = at[keep], low[keep].tolist()
-        where = at.tolist()
-        left, right = [0] * len(where), [n - 1] * len(where)
-        stack: list[int] = []
-        for i, v in enumerate(low):
-            while stack and low[stack[-1]] > v:
-                right[stack.pop()] = where[i] - 1
-            left[i] = where[stack[-1]] + 1 if stack else 0
-            stack.append(i)
-        keys.append((h[k, at] & ~np.uint64(7)) | np.uint64(k % 8))
-        centres.append(at)
-        lefts.append(np.array(left, np.int64))
-        rights.append(np.array(right, np.int64))
-    return tuple(np.concatenate(x) for x in (keys, centres, lefts, rights))
+        at, low, text = at[keep], low[keep], text[keep]
+        left, right = _smaller(low, text)
+        first, last = begin[some[text]], begin[some[text] + 1] - 1
+        left = np.where(left < 0, first, at[left] + 1)
+        right = np.where(right < 0, last, at[right] - 1)
+        out.append(((h[at] & ~np.uint64(7)) | np.uint64(k % 8), at, left, right, some[text]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _smaller(low: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each value the nearest one before that is no larger and the nearest behind that is smaller, in its text; -1 if none.
+
+    Links lead over larger values and are followed in step; each round doubles what they lead over.
+    """
+    n, out = len(low), []
+    for step in (-1, 1):
+        to = np.arange(n) + step
+        edge = np.flatnonzero(text[1:] != text[:-1])
+        to[[0] if step < 0 else [n - 1]] = -1
+        to[edge + 1 if step < 0 else edge] = -1
+        some = np.flatnonzero(to >= 0)
+        while len(some):
+            ahead = low[to[some]]
+            some = some[ahead > low[some] if step < 0 else ahead >= low[some]]
+            to[some] = to[to[some]]
+            some = some[to[some] >= 0]
+        out.append(to)
+    return out[0], out[1]
 
 
 def _places(low: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
@@ -145,8 +208,7 @@ class Runs:
         n = len(shingles)
         if len(Runs.powers[0]) <= n:
             size = 1 << max(12, n.bit_length())
-            with np.errstate(over="ignore"):
-                Runs.powers = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, np.uint64(x)))]) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+            Runs.powers = tuple(_powers(x, size) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
         up, self.down = Runs.powers
         with np.errstate(over="ignore"):
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles * up[:n])])
@@ -156,8 +218,8 @@ class Runs:
             return _mix((self.sums[begin + length] - self.sums[begin]) * self.down[begin])
 
 
-def _around(shingles: np.ndarray, key: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Of windows: a hash of all that a run of ``width`` with the centre can reach (f), and for the first hash function of the
+def _around(shingles: np.ndarray, key: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, first: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Of windows in texts from ``first`` to ``end``: a hash of all that a run of ``width`` with the centre can reach (f), and for the first hash function of the
     halves up to and from the centre: of half a run (h) and of a quarter (g), 16 bits each, 0 where they are cut off.
 
     A run of ``width`` with the centre has one of the two halves whole. Marks of halves only say what to verify.
@@ -166,9 +228,9 @@ def _around(shingles: np.ndarray, key: np.ndarray, c: np.ndarray, l: np.ndarray,
     lo, hi = np.minimum(c - l, width - 1), np.minimum(r - c, width - 1)
     f = _mix(runs(c - lo, lo + hi + 1) ^ _mix((lo * (2 * width) + hi + 1).astype(np.uint64)))
     some = np.flatnonzero(key & np.uint64(7) == 0)
-    c, lo, hi = c[some], lo[some], hi[some]
+    c, lo, hi, first, last = c[some], lo[some], hi[some], first[some], end[some]
     for size in (width // 2 + 1, width // 4 + 1):
-        start, end = np.maximum(c - size + 1, 0), np.minimum(c + size, len(shingles))
+        start, end = np.maximum(c - size + 1, first), np.minimum(c + size, last)
         left, right = ((runs(b, e - b) >> np.uint64(48)).astype(np.uint32) | np.uint32(1) for b, e in ((start, c + 1), (c, end)))
         h = np.zeros(len(key), np.uint32)
         h[some] = (left << np.uint32(16)) * (lo >= size - 1) | right * (hi >= size - 1)
@@ -304,13 +366,13 @@ def _windows(shingle: int, width: int, hashes: int, hold: int = 1_500_000):
     def run(batches):
         make, held, count = Shingler(shingle), [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if doc is None:
-                    continue
-                found = make(text)
-                key, c, l, r = compact_windows(found, width, hashes)
+            for part in slices(batch.filter(batch.column(0).is_valid())):
+                doc = part.column(0).to_numpy()
+                found, begin = make.column(part.column(1))
+                key, c, l, r, text = text_windows(found, begin, width, hashes)
                 if len(key):
-                    held.append((key.view(np.int64), np.full(len(key), doc, np.int64), c, l, r, *_around(found, key, c, l, r, width)))
+                    first, end = begin[text], begin[text + 1]
+                    held.append((key.view(np.int64), doc[text], c - first, l - first, r - first, *_around(found, key, c, l, r, first, end, width)))
                     count += len(key)
                 if count > hold:
                     key, *w = (np.concatenate(x) for x in zip(*held))
@@ -485,13 +547,18 @@ def _slices(shingle: int):
     def run(batches):
         make = Shingler(shingle)
         for batch in batches:
-            for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = make(text).view(np.int64)
-                part = [h[max(0, q["s"]) : max(0, q["e"] + 1)] for q in asked]
-                lists = pa.array(part, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([q["pair"] for q in asked]), pa.array([q["side"] for q in asked], pa.int32()), pa.array([max(0, q["s"]) for q in asked], pa.int32()), lists], ["pair", "side", "s", "h"]
-                )
+            for part in slices(batch):
+                found, begin = make.column(part.column(0))
+                asked = part.column(1)
+                text = np.repeat(np.arange(part.num_rows), pc.list_value_length(asked).to_numpy())
+                q = pc.list_flatten(asked)
+                first, size, s, e = begin[text], begin[text + 1] - begin[text], *(q.field(n).to_numpy().astype(np.int64) for n in ("s", "e"))
+                s = np.maximum(s, 0)
+                size = np.maximum(np.minimum(e + 1, size) - s, 0)
+                ends = np.concatenate([[0], np.cumsum(size)])
+                h = found.view(np.int64)[np.arange(ends[-1]) + np.repeat(first + s - ends[:-1], size)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h))
+                yield pa.RecordBatch.from_arrays([q.field("pair"), q.field("side"), pa.array(s, pa.int32()), lists], ["pair", "side", "s", "h"])
 
     return run
 
@@ -584,7 +651,7 @@ def matches(a: np.ndarray, b: np.ndarray, width: int, similar: float, off: int =
 
 
 def _verify(width: int, similar: float, shingle: int):
-    def slices(column: pa.ListArray) -> list[list[tuple[int, np.ndarray]]]:
+    def parts(column: pa.ListArray) -> list[list[tuple[int, np.ndarray]]]:
         """(place, shingles) of the slices of each row, without a copy."""
         flat = column.flatten()
         hashes = flat.field("h")
@@ -596,7 +663,7 @@ def _verify(width: int, similar: float, shingle: int):
     def run(batch):
         cols = [[] for _ in range(6)]
         ids = (batch.column(i).to_pylist() for i in range(3))
-        for doc, doc2, shift, ones, twos in zip(*ids, slices(batch.column(3)), slices(batch.column(4))):
+        for doc, doc2, shift, ones, twos in zip(*ids, parts(batch.column(3)), parts(batch.column(4))):
             for one, a in ones:
                 for two, b in twos:
                     for x, x2, y, y2 in matches(a, b, width, similar, one - shift - two):
