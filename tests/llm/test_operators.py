@@ -459,6 +459,22 @@ def test_compact_windows_equal_the_definition():
         assert got == want
 
 
+def test_windows_of_many_texts_at_once_equal_those_of_each():
+    r = random.Random(4)
+    texts = ["", None, "a b", "One two three four five", "ONE two\tthree\n four five six", "é ñ ü ö ä ß ABC", " lead a b c d e ", "w" * 2_000_000 + " a b c d e", "a b c d e f " * 100_000]
+    texts += [" ".join(r.choice("abcdef") * r.randint(1, 3) for _ in range(n)) for n in (49, 50, 51, 200, 900)]
+    make = passages.Shingler(5)
+    found, begin = make.column(pa.array(["zz", *texts]).slice(1))
+    key, *places, text = passages.text_windows(found, begin, 46)
+    for i, t in enumerate(texts):
+        one = make(t)
+        assert np.array_equal(one, found[begin[i] : begin[i + 1]]) and len(one) == max(0, len((t or "").split()) - 4)
+        mine = text == i
+        got = zip(key[mine].tolist(), *((x[mine] - begin[i]).tolist() for x in places))
+        assert set(got) == set(zip(*(x.tolist() for x in passages.compact_windows(one, 46))))
+    assert np.array_equal(make("ONE two three four five"), make("one  TWO three\nfour five"))
+
+
 def test_repeated_passages_against_brute_force(spark):
     r = random.Random(12)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
