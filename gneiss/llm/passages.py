@@ -16,7 +16,7 @@ from gneiss.llm.simhash import LOWER
 SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
 #: Hash functions, and how many of them must agree on a common passage.
 HASHES, AGREE = 4, 2
-#: So many different surroundings of a key are compared pair by pair; more are split by their words first.
+#: So many different surroundings of a key are paired unseen; those of larger keys are compared by their shingles.
 PAIRS = 12
 #: Aligned passages may drift by so many words within one candidate.
 DRIFT = 16
@@ -190,12 +190,12 @@ def _places(low: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
 
 
 #: Kinds of rows: a window that goes on; equal ranges of two documents; windows of two documents that may belong
-#: together, by their key or by words beside its centre; a window of a key that all these do not split.
+#: together, by their key or by words beside its centre; a window of a key that has too many to pair them unseen.
 ON, COPY, PAIR, STRONG, DEEP = range(5)
-#: ``f``, ``h`` and ``g`` hash what lies around the centre, see :func:`_around`.
-WINDOW = ["kind", "key", "doc", "c", "l", "r", "f", "h", "g", "doc2", "c2", "l2", "r2"]
-WINDOW_SCHEMA = "kind byte, key long, doc long, c int, l int, r int, f long, h int, g int, doc2 long, c2 int, l2 int, r2 int"
-KINDS = [pa.int8(), pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 2, pa.int64(), *[pa.int32()] * 3]
+#: ``f`` and ``h`` hash what lies around the centre, see :func:`_around`.
+WINDOW = ["kind", "key", "doc", "c", "l", "r", "f", "h", "doc2", "c2", "l2", "r2"]
+WINDOW_SCHEMA = "kind byte, key long, doc long, c int, l int, r int, f long, h int, doc2 long, c2 int, l2 int, r2 int"
+KINDS = [pa.int8(), pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 3]
 
 
 class Runs:
@@ -219,27 +219,26 @@ class Runs:
 
 
 def _around(shingles: np.ndarray, key: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, first: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Of windows in texts from ``first`` to ``end``: a hash of all that a run of ``width`` with the centre can reach (f), and for the first hash function of the
-    halves up to and from the centre: of half a run (h) and of a quarter (g), 16 bits each, 0 where they are cut off.
+    """Of windows in texts from ``first`` to ``end``: a hash of all that a run of ``width`` with the centre can reach (f), and for the first hash function of
+    half a run up to and from the centre (h), 16 bits each, 0 where it is cut off.
 
     A run of ``width`` with the centre has one of the two halves whole. Marks of halves only say what to verify.
     """
-    runs, out, c = Runs(shingles), [], c.astype(np.int64)
+    runs, c = Runs(shingles), c.astype(np.int64)
     lo, hi = np.minimum(c - l, width - 1), np.minimum(r - c, width - 1)
     f = _mix(runs(c - lo, lo + hi + 1) ^ _mix((lo * (2 * width) + hi + 1).astype(np.uint64)))
     some = np.flatnonzero(key & np.uint64(7) == 0)
     c, lo, hi, first, last = c[some], lo[some], hi[some], first[some], end[some]
-    for size in (width // 2 + 1, width // 4 + 1):
-        start, end = np.maximum(c - size + 1, first), np.minimum(c + size, last)
-        left, right = ((runs(b, e - b) >> np.uint64(48)).astype(np.uint32) | np.uint32(1) for b, e in ((start, c + 1), (c, end)))
-        h = np.zeros(len(key), np.uint32)
-        h[some] = (left << np.uint32(16)) * (lo >= size - 1) | right * (hi >= size - 1)
-        out.append(h.view(np.int32))
-    return f.view(np.int64), *out
+    size = width // 2 + 1
+    start, end = np.maximum(c - size + 1, first), np.minimum(c + size, last)
+    left, right = ((runs(b, e - b) >> np.uint64(48)).astype(np.uint32) | np.uint32(1) for b, e in ((start, c + 1), (c, end)))
+    h = np.zeros(len(key), np.uint32)
+    h[some] = (left << np.uint32(16)) * (lo >= size - 1) | right * (hi >= size - 1)
+    return f.view(np.int64), h.view(np.int32)
 
 
 def _rows(kind: int, key: np.ndarray, one, two=None) -> pa.RecordBatch:
-    """Rows of ``WINDOW``; ``one`` is (doc, c, l, r, f, h, g), ``two`` (doc, c, l, r)."""
+    """Rows of ``WINDOW``; ``one`` is (doc, c, l, r, f, h), ``two`` (doc, c, l, r)."""
     n = len(key)
     two = two or [None] * 4
     columns = [np.full(n, kind, np.int8), key, *one, *two]
@@ -259,7 +258,7 @@ def _copies_of(key, w, i: np.ndarray, j: np.ndarray, width: int) -> pa.RecordBat
     end = reach[np.concatenate([start[1:], [len(i)]]) - 1] - part[start]
     # A range has its first place in c and c2, and its length in f.
     none = [None] * 2
-    return _rows(COPY, key[i[start]], (doc[i[start]], b[start], *none, end - b[start], *none), (doc[j[start]], b[start] + shift[start], *none))
+    return _rows(COPY, key[i[start]], (doc[i[start]], b[start], *none, end - b[start], None), (doc[j[start]], b[start] + shift[start], *none))
 
 
 def _joined(key: np.ndarray, w: list[np.ndarray], width: int, last: bool):
@@ -291,7 +290,13 @@ def _joined(key: np.ndarray, w: list[np.ndarray], width: int, last: bool):
         go[~same] = go[further] = go[end] = True
         yield _rows(ON, key[go], [x[go] for x in w])
         return
-    yield from _paired(key, w, np.flatnonzero(~same), {int(head[x]): int(x) for x in end.tolist()})
+    # A leader of several classes of a key meets itself in them; so another member stands beside it.
+    heads = np.flatnonzero(~same)
+    heads = heads[np.lexsort((doc[heads], key[heads]))]
+    again = (key[heads][1:] == key[heads][:-1]) & (doc[heads][1:] == doc[heads][:-1])
+    several = np.zeros(n, bool)
+    several[heads[1:][again]] = several[heads[:-1][again]] = True
+    yield from _paired(key, w, np.concatenate([heads, end[several[head[end]]]]))
 
 
 def _within(sizes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,58 +310,28 @@ def _within(sizes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, np.int64),) * 2
 
 
-def _paired(key: np.ndarray, w: list[np.ndarray], heads: np.ndarray, ends: dict[int, int]):
+def _paired(key: np.ndarray, w: list[np.ndarray], heads: np.ndarray):
     """Pairs of the classes of each key, whose leaders are at ``heads``.
 
-    Up to ``PAIRS`` classes are paired with one another. Those of a larger group meet its least and the one before, and
-    the group is split by the words beside the centre, a quarter of a run on either side, then half a run, where the same
-    holds of each part. Of parts that are large even then, windows of the first hash function come out to be compared by content.
+    Up to ``PAIRS`` classes are paired with one another; of a larger key all come out to be compared by content, see :func:`_large`.
     """
-    doc, h, g = w[0], w[5], w[6]
-    sides = (np.int32(-1 << 16), np.int32(0xFFFF))
-
-    def pairs(i, j, strong):
-        ok = doc[i] != doc[j]
-        i, j = i[ok], j[ok]
-        if not len(i):
-            return
-        half = np.zeros(len(i), bool)
-        for side in sides:
-            half |= (h[i] & side == h[j] & side) & (h[i] & side != 0)
-        half &= (key[i] & 7 == 0) | strong
-        for kind, some in ((STRONG, half), (PAIR, ~half)):
-            if some.any():
-                a, b = i[some], j[some]
-                yield _rows(kind, key[a], [x[a] for x in w[:4]] + [None] * 3, [x[b] for x in w[:4]])
-
-    def level(some, begin, strong):
-        """Pairs within groups, in the order of documents, that begin at ``begin``; last the members of large ones."""
-        size = np.diff(np.append(begin, len(some)))
-        i, j = _within(np.where(size <= PAIRS, size, 0), begin)
-        over = np.repeat(size > PAIRS, size)
-        lead, at = np.repeat(begin, size)[over], np.flatnonzero(over)
-        i = np.concatenate([i, lead[at > lead], at[at > lead + 1] - 1])
-        j = np.concatenate([j, at[at > lead], at[at > lead + 1]])
-        return [*pairs(some[i], some[j], strong)], some[over]
-
-    def begins(*columns):
-        return np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], axis=0)])) if len(columns[0]) else np.empty(0, np.int64)
-
+    doc, h = w[0], w[5]
     heads = heads[np.lexsort((doc[heads], key[heads]))]
-    out, large = level(heads, begins(key[heads]), False)
-    yield from out
-    for mark, strong in ((g, False), (h, True)):
-        rest = []
-        for side in sides:
-            some = large[mark[large] & side != 0]
-            some = some[np.lexsort((doc[some], mark[some] & side, key[some]))]
-            out, over = level(some, begins(key[some], mark[some] & side), strong)
-            yield from out
-            rest.append(over)
-        large = np.unique(np.concatenate(rest))
-    deep = large[key[large] & 7 == 0]
+    begin = np.flatnonzero(np.concatenate([[True], key[heads][1:] != key[heads][:-1]]))
+    size = np.diff(np.append(begin, len(heads)))
+    i, j = (heads[x] for x in _within(np.where(size <= PAIRS, size, 0), begin))
+    ok = doc[i] != doc[j]
+    i, j = i[ok], j[ok]
+    half = np.zeros(len(i), bool)
+    for side in (np.int32(-1 << 16), np.int32(0xFFFF)):
+        half |= (h[i] & side == h[j] & side) & (h[i] & side != 0)
+    half &= key[i] & 7 == 0
+    for kind, some in ((STRONG, half), (PAIR, ~half)):
+        if some.any():
+            a, b = i[some], j[some]
+            yield _rows(kind, key[a], [x[a] for x in w[:4]] + [None] * 2, [x[b] for x in w[:4]])
+    deep = heads[np.repeat(size > PAIRS, size)]
     if len(deep):
-        deep = np.unique(np.concatenate([deep, [ends[x] for x in deep.tolist() if x in ends]]).astype(np.int64))
         yield _rows(DEEP, key[deep], [x[deep] for x in w])
 
 
@@ -393,7 +368,7 @@ def _meet(width: int):
 
         def met(tables):
             for table in tables:
-                key, *w = (table.column(i).to_numpy() for i in range(1, 9))
+                key, *w = (table.column(i).to_numpy() for i in range(1, 8))
                 yield from _joined(key, w, width, True)
 
         for batch in batches:
@@ -405,100 +380,228 @@ def _meet(width: int):
     return run
 
 
-LINK = ["run", "doc", "b", "doc2", "b2", "n"]
-LINK_SCHEMA = "run long, doc long, b int, doc2 long, b2 int, n int"
+def _large(plain: DataFrame, met: DataFrame, width: int, similar: float, shingle: int, parts: int) -> DataFrame:
+    """Pairs of windows, as ``STRONG`` rows, that connect the keys with more than ``PAIRS`` classes.
 
+    Each window of such a key takes what a run of ``width`` with its centre can reach from the text, 32 bits a shingle, and
+    windows of a key meet in one place, see :func:`_near`.
+    """
+    request = F.collect_list(F.struct("key", "c", "l", "r"))
+    asked = met.where(F.col("kind") == DEEP).groupBy("doc").agg(request.alias("asked"))
+    reach = plain.join(asked, F.col("doc_id") == F.col("doc")).select("doc", "text", "asked").mapInArrow(_reach(shingle, width), REACH_SCHEMA)
+    return reach.repartition(parts, "key").sortWithinPartitions("key", "doc", "c").mapInArrow(_met_large(width, similar), "kind byte, key long, doc long, c int, l int, r int, doc2 long, c2 int, l2 int, r2 int")
 
-def _copied(run, doc, b, leaders: bool):
-    """Of equal runs: ranges of those that follow one another in both documents, each with the least document's.
 
-    The least document's own further runs link with the first of another document;
-    with ``leaders`` its runs come out as well, to go on.
-    """
-    order = np.lexsort((b, doc, run))
-    run, doc, b = (x[order] for x in (run, doc, b))
-    n = len(run)
-    same = np.concatenate([[False], run[1:] == run[:-1]])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
-    own = doc == doc[head]
-    first = np.full(n, n)
-    turn = np.flatnonzero(same & ~own & np.concatenate([[True], own[:-1]]))
-    first[head[turn]] = turn
-    if leaders:
-        none = [pa.nulls(int(own.sum()), k) for k in (pa.int64(), pa.int32(), pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(run[own]), pa.array(doc[own]), pa.array(b[own], pa.int32()), *none], LINK)
-    at = np.flatnonzero(~own)
-    again = np.flatnonzero(same & own & (first[head] < n))
-    i, j = np.concatenate([head[at], again]), np.concatenate([at, first[head[again]]])
-    if len(i):
-        shift = b[j] - b[i]
-        order = np.lexsort((b[i], shift, doc[j], doc[i]))
-        i, j, shift = i[order], j[order], shift[order]
-        next_to = (doc[i][1:] == doc[i][:-1]) & (doc[j][1:] == doc[j][:-1]) & (shift[1:] == shift[:-1]) & (b[i][1:] <= b[i][:-1] + 1)
-        start = np.flatnonzero(np.concatenate([[True], ~next_to]))
-        end = np.concatenate([start[1:], [len(i)]]) - 1
-        n = b[i][end] - b[i][start] + 1
-        i, j = i[start], j[start]
-        yield pa.RecordBatch.from_arrays([pa.array(run[j]), pa.array(doc[i]), pa.array(b[i], pa.int32()), pa.array(doc[j]), pa.array(b[j], pa.int32()), pa.array(n, pa.int32())], LINK)
+REACH = ["key", "doc", "c", "l", "r", "h"]
+REACH_SCHEMA = "key long, doc long, c int, l int, r int, h array<int>"
 
 
-def _runs(shingle: int, width: int, hold: int = 1_500_000):
-    """Runs of ``width`` shingles with the centre of a window of an asked key, combined before the shuffle."""
+def _reach(shingle: int, width: int):
+    """The shingles that a run of ``width`` with the centre of each asked window can reach."""
 
     def run(batches):
-        make, held, count = Shingler(shingle), [], 0
+        make = Shingler(shingle)
         for batch in batches:
-            for doc, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = make(text)
-                keys, c, l, r = compact_windows(found, width, 1)
-                keys = keys.view(np.int64)
-                some = np.isin(keys, asked)
-                low = np.maximum(l, c - width + 1)[some]
-                sizes = np.minimum(c, r - width + 1)[some] + 1 - low
-                b = np.arange(int(sizes.sum())) + np.repeat(low - np.cumsum(sizes) + sizes, sizes)
-                if len(b):
-                    held.append((Runs(found)(b, width).view(np.int64), np.full(len(b), doc), b))
-                    count += len(b)
-                if count > hold:
-                    yield from _copied(*map(np.concatenate, zip(*held)), leaders=True)
-                    held, count = [], 0
-        if held:
-            yield from _copied(*map(np.concatenate, zip(*held)), leaders=True)
+            for part in slices(batch):
+                found, begin = make.column(part.column(1))
+                asked = part.column(2)
+                text = np.repeat(np.arange(part.num_rows), pc.list_value_length(asked).to_numpy())
+                q = pc.list_flatten(asked)
+                key, c, l, r = (q.field(n).to_numpy() for n in ("key", "c", "l", "r"))
+                # Of several texts of one doc_id, it is that of a text with the shingle in this place.
+                fits = r < (begin[1:] - begin[:-1])[text]
+                key, c, l, r, text = (x[fits] for x in (key, c, l, r, text))
+                k = key.view(np.uint64) & np.uint64(7)
+                fits = (_hashed(found[begin[text] + c], k) & ~np.uint64(7)) | k == key.view(np.uint64)
+                key, c, l, r, text = (x[fits] for x in (key, c, l, r, text))
+                s, e = np.maximum(l, c - width + 1).astype(np.int64), np.minimum(r, c + width - 1).astype(np.int64) + 1
+                ends = np.concatenate([[0], np.cumsum(e - s)])
+                h = found.view(np.int64)[np.arange(ends[-1]) + np.repeat(begin[text] + s - ends[:-1], e - s)].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part.column(0).to_numpy()[text]), pa.array(c), pa.array(l), pa.array(r), lists], REACH)
 
     return run
 
 
-def _meet_runs(batches):
-    """Ranges among the runs of a partition that has all equal ones, in their order; ranges pass."""
-    groups = WholeGroups("run")
+def _hashed(shingles: np.ndarray, k) -> np.ndarray:
+    """Hash function ``k`` of shingles."""
+    with np.errstate(over="ignore"):
+        return _mix(shingles ^ (np.asarray(k, np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _met_large(width: int, similar: float):
+    """Pairs of windows among those of a partition that has all of each key, in their order."""
 
     def met(tables):
         for table in tables:
-            yield from _copied(*(table.column(i).to_numpy() for i in range(3)), leaders=False)
+            key, doc, c, l, r = (table.column(i).to_numpy() for i in range(5))
+            h = table.column(5).combine_chunks()
+            i, j = near_windows(key, doc, c - np.maximum(l, c - width + 1), h.flatten().to_numpy(), h.value_lengths().to_numpy(), width, similar)
+            if len(i):
+                one, two = ([pa.array(x[at]) for x in (doc, c, l, r)] for at in (i, j))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), STRONG, np.int8)), pa.array(key[i]), *one, *two], ["kind", "key", "doc", "c", "l", "r", "doc2", "c2", "l2", "r2"])
+
+    def run(batches):
+        groups = WholeGroups("key", 20_000)
+        for batch in batches:
+            yield from met(groups.add(batch))
+        yield from met(groups.last())
+
+    return run
+
 
-    for batch in batches:
-        done = batch.column(3).is_valid()
-        yield batch.filter(done)
-        yield from met(groups.add(batch.filter(pc.invert(done))))
-    yield from met(groups.last())
+def _distinct(before: np.ndarray, width: int) -> int:
+    """Least number of different shingles in a run of ``width``; ``before`` is where each was seen last, or -1."""
+    starts = np.arange(len(before) - width + 1)[:, None]
+    return int((before[starts + np.arange(width)] < starts).sum(1).min())
 
 
-def _copies(plain: DataFrame, met: DataFrame, width: int, shingle: int, parts: int) -> DataFrame:
-    """Links of passages that repeat word for word, by their content.
+def near_windows(key: np.ndarray, doc: np.ndarray, centre: np.ndarray, h: np.ndarray, size: np.ndarray, width: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of windows in the order of their key that have a common passage, see :func:`_near`.
 
-    A run of ``width`` shingles has its least hash of the first function at the centre of one window, and
-    its copies do in windows of the same key. Windows with equal surroundings are linked already, and
-    those of keys with few surroundings are paired. Of the other keys, all runs around the
-    centre are taken from the texts, and equal ones link.
+    ``h`` holds all windows' shingles, ``size`` of each. A common passage has ranges of at least ``width`` on either side, with at
+    least p and q different shingles; so c of them are in both with c / (p + q - c) >= similar. Where p is the least of any run of
+    a window, ``similar`` times p of its shingles must be in windows of other documents. Windows that have fewer go, as often as that leaves others with fewer.
     """
-    words = shingle - 1
-    done = met.where(F.col("kind") == COPY).select("doc", "doc2", F.col("c").alias("b"), F.col("c2").alias("b2"), F.col("f").cast("int").alias("n"))
-    asked = met.where(F.col("kind") == DEEP).groupBy("doc").agg(F.collect_set("key").alias("asked"))
-    found = plain.join(asked, F.col("doc_id") == F.col("doc")).select("doc", "text", "asked").mapInArrow(_runs(shingle, width), LINK_SCHEMA)
-    dealt = F.when(F.col("doc2").isNull(), F.col("run")).otherwise(F.xxhash64("doc", "doc2", "b2"))
-    found = found.repartition(parts, dealt).sortWithinPartitions("run").mapInArrow(_meet_runs, LINK_SCHEMA)
-    done = done.unionByName(found.select("doc", "doc2", "b", "b2", (F.col("n") + width - 1).alias("n")))
-    return done.select("doc", "doc2", "b", (F.col("b") + F.col("n") + words).alias("e"), "b2", (F.col("b2") + F.col("n") + words).alias("e2"))
+    n, end = len(key), np.cumsum(size)
+    begin = end - size
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])).astype(np.uint64)
+    token = h.view(np.uint32).astype(np.uint64)
+    win = np.repeat(np.arange(n), size)
+    pos = np.arange(len(h)) - begin[win]
+    own = (win.astype(np.uint64) << np.uint64(32)) | token
+    order = np.argsort(own, kind="stable")
+    again = np.flatnonzero(own[order][1:] == own[order][:-1])
+    before = np.full(len(h), -1)
+    before[order[again + 1]] = pos[order[again]]
+    least, once = np.full(n, width), np.ones(n, bool)
+    for x in np.unique(win[before >= 0]).tolist():
+        once[x], least[x] = False, _distinct(before[begin[x] : end[x]], width)
+    first = before < 0
+    win, pos, token = win[first], pos[first], (group[win[first]] << np.uint64(32)) | token[first]
+    while len(win):
+        order = np.argsort(token, kind="stable")  # stable: the documents of a token rise
+        t, d = token[order], doc[win[order]]
+        b = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        count = np.diff(np.append(b, len(t)))
+        keep = np.zeros(len(t), bool)
+        keep[order] = np.repeat(d[b] != d[b + count - 1], count)
+        enough = np.bincount(win[keep], minlength=n) >= similar * least - 1e-9
+        keep &= enough[win]
+        win, pos, token = win[keep], pos[keep], token[keep]
+        if keep.all():
+            break
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    b = np.flatnonzero(np.concatenate([[True], group[win][1:] != group[win][:-1]])) if len(win) else np.empty(0, np.int64)
+    for s, e in zip(b.tolist(), np.append(b[1:], len(win)).tolist()):
+        some, local = np.unique(win[s:e], return_inverse=True)
+        parts = [h[x:y].astype(np.int64) for x, y in zip(begin[some].tolist(), end[some].tolist())]
+        pairs = _near(doc[some], centre[some], parts, local, np.unique(token[s:e], return_inverse=True)[1], pos[s:e], least[some], once[some], width, similar)
+        if pairs:
+            i, j = np.array(pairs).T
+            out.append((some[i], some[j]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _near(doc, centre, parts, win, token, pos, least, once, width: int, similar: float) -> list[tuple[int, int]]:
+    """Pairs of one key's windows that connect what any pairs with a common passage connect, and together cover what they cover.
+
+    ``win``, ``token`` and ``pos`` list each window's different shingles that other documents have too. Windows outside the largest class
+    are compared with all others, until every pair of two classes was; then windows with shingles that lie in no
+    passage yet are compared with all that hold those. So a family of copies takes a comparison a window, not all pairs.
+    """
+    m, span = len(doc), 2 * width
+    at = np.searchsorted(win, np.arange(m + 1))
+    by = np.argsort(token, kind="stable")
+    places = np.searchsorted(token[by], np.arange(int(token.max()) + 2))
+    label = np.unique(doc, return_inverse=True)[1]
+    covered = np.zeros((m, span), bool)
+    out: list[tuple[int, int]] = []
+
+    def compare(x: int, others: np.ndarray):
+        """Of ``others`` that may have a passage with ``x``: the window, 1 if it has, 0 if not, -1 if that must be asked, its range in x and its own."""
+        t = token[at[x] : at[x + 1]]
+        n = places[t + 1] - places[t]
+        ends = np.cumsum(n)
+        e = by[np.arange(ends[-1]) + np.repeat(places[t] - ends + n, n)]
+        y, i, j = win[e], np.repeat(pos[at[x] : at[x + 1]], n), pos[e]
+        others = others & (np.bincount(y, minlength=m) >= similar * (least[x] + least) / (1 + similar) - 1e-9)
+        some = others[y]
+        y, i, j = y[some], i[some], j[some]
+        order = np.argsort(y * span + i)
+        y, i, j = y[order], i[order], j[order]
+        if not len(y):
+            return [np.empty(0, np.int64)] * 6
+        new = np.concatenate([[True], y[1:] != y[:-1]])
+        begin, row = np.flatnonzero(new), np.cumsum(new) - 1
+        end = np.append(begin[1:], len(y))
+        # As in ``matches``, but for all at once; it is asked where shingles repeat or change their order.
+        score = (1 + similar) * (np.arange(len(y)) - begin[row]) - similar * (i + j)
+        lift = (len(begin) - row) * (8.0 * span)
+        best = np.maximum.accumulate((score + lift)[::-1])[::-1] - lift
+        far = [np.searchsorted(row * (2 * span) + v, row * (2 * span) + v + width - 1) for v in (i, j)]
+        far = np.maximum(*far)
+        ok = far < end[row]
+        ok[ok] = best[far[ok]] >= score[ok] - (1 - similar) - 1e-6
+        low = np.minimum.reduceat(np.where(ok, score, np.inf), begin)
+        inside = score >= low[row] - (1 - similar) - 1e-6
+        first = np.minimum.reduceat(np.where(ok, np.arange(len(y)), len(y) - 1), begin)
+        last = np.maximum.reduceat(np.where(inside, np.arange(len(y)), 0), begin)
+        last = np.maximum(last, begin)
+        state = np.logical_or.reduceat(ok, begin).astype(np.int64)
+        turns = np.concatenate([[False], (j[1:] < j[:-1]) & ~new[1:]])
+        state[np.logical_or.reduceat(turns, begin) | ~once[y[begin]] | (not once[x])] = -1
+        return y[begin], state, i[first], i[last] + 1, j[first], j[last] + 1
+
+    def ask(x: int, y: int) -> list[tuple[int, int, int, int]]:
+        return matches(parts[x], parts[y], width, similar, int(centre[y] - centre[x]))
+
+    def take(x: int, y: int, ranges):
+        for b, e, b2, e2 in ranges:
+            covered[x, b:e] = covered[y, b2:e2] = True
+        out.append((x, y))
+
+    seen = np.zeros(m, bool)
+    while True:
+        left = np.flatnonzero(~seen & (label != np.bincount(label).argmax()))
+        if not len(left):
+            break
+        x = int(left[0])
+        seen[x] = True
+        y, state, *ranges = compare(x, ~seen & (label != label[x]))
+        yes = np.flatnonzero(state == 1)
+        joins, one = np.unique(label[y[yes]], return_index=True)
+        for k in yes[one].tolist():
+            take(x, int(y[k]), [[int(v[k]) for v in ranges]])
+        label[np.isin(label, joins)] = label[x]
+        for v in y[state < 0].tolist():
+            if label[v] != label[x] and (found := ask(x, v)):
+                take(x, v, found)
+                label[label == label[v]] = label[x]
+    for x in range(m):
+        q = pos[at[x] : at[x + 1]]
+        bare = ~covered[x, q]
+        if not bare.any():
+            continue
+        t = token[at[x] : at[x + 1]][bare]
+        have = np.zeros(m, bool)
+        have[win[by[np.concatenate([np.arange(places[v], places[v + 1]) for v in t.tolist()])]]] = True
+        y, state, *ranges = compare(x, have & (doc != doc[x]))
+        yes = np.flatnonzero(state == 1)
+        while len(yes):
+            bare = np.concatenate([[0], np.cumsum(np.bincount(q[~covered[x, q]], minlength=span))])
+            gain = bare[ranges[1][yes]] - bare[ranges[0][yes]]
+            yes = yes[gain > 0]
+            if len(yes):
+                k = int(yes[gain[gain > 0].argmax()])
+                take(x, int(y[k]), [[int(v[k]) for v in ranges]])
+        for v in y[state < 0].tolist():
+            if covered[x, q].all():
+                break
+            found = ask(x, v)
+            if any((~covered[x, q] & (q >= b) & (q < e)).any() for b, e, _, _ in found):
+                take(x, v, found)
+    return out
 
 
 def _regions(width: int, agree: int, drift: int):
@@ -515,7 +618,7 @@ def _regions(width: int, agree: int, drift: int):
             i = j + 1
             marks = sorted([(r[1], 1, r[3], r[0]) for r in group] + [(r[2] + 1, -1, r[3], r[0]) for r in group], key=lambda m: (m[0], m[1]))
             live: dict[int, int] = {}
-            start, shifts = None, []
+            start, shifts, strong = None, [], False
             for at, sign, k, shift in marks:
                 live[k] = live.get(k, 0) + sign
                 enough = live.get(8, 0) > 0 or sum(v > 0 for v in live.values()) >= agree
@@ -523,8 +626,11 @@ def _regions(width: int, agree: int, drift: int):
                     shifts.append(shift)
                 if enough and start is None:
                     start = at
-                elif not enough and start is not None:
-                    if at - start >= width:
+                    strong = live.get(8, 0) > 0
+                elif enough:
+                    strong |= live.get(8, 0) > 0
+                elif start is not None:
+                    if at - start >= width - drift * strong:  # words put in or left out move one side's ends
                         out.append((start, at - 1, shifts[len(shifts) // 2]))
                     start, shifts = None, [s for s in shifts[-1:]]
         return out
@@ -682,6 +788,7 @@ def passage_links(docs: DataFrame, scratch: Scratch, passage: int = PASSAGE, sim
     partitions' leaders, so a passage of a third of all documents is a few rows per
     partition in any task. Classes of different surroundings are paired, see :func:`_paired`, and
     a pair whose windows overlap under ``agree`` hash functions, or with half a run in common, is verified by its texts.
+    Keys of many classes are searched by content, see :func:`_large`; the pairs found are verified likewise.
     """
     width = passage - shingle + 1
     spark = docs.sparkSession
@@ -691,11 +798,14 @@ def passage_links(docs: DataFrame, scratch: Scratch, passage: int = PASSAGE, sim
     # A copy already knows its ends: it is dealt by them, not by the key.
     dealt = F.when(F.col("kind") == ON, F.col("key")).otherwise(F.xxhash64("doc", "doc2", "c2"))
     met = scratch.cut(windows.repartition(parts, dealt).sortWithinPartitions("key").mapInArrow(_meet(width), WINDOW_SCHEMA))
-    copies = scratch.cut(_copies(plain, met, width, shingle, parts))
+    done = met.where(F.col("kind") == COPY).select("doc", "doc2", F.col("c").alias("b"), F.col("c2").alias("b2"), F.col("f").cast("int").alias("n"))
+    end = lambda b: (F.col(b) + F.col("n") + shingle - 1).alias(b.replace("b", "e"))
+    copies = done.select("doc", "doc2", "b", end("b"), "b2", end("b2"))
     turned = F.col("doc") > F.col("doc2")
     names = ("doc", "c", "l", "r")
     sides = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for n in names for a, b in ((n, n + "2"), (n + "2", n))]
-    pairs = met.where(F.col("kind").isin(PAIR, STRONG)).select("key", (F.col("kind") == STRONG).alias("strong"), *sides)
+    pairs = met.where(F.col("kind").isin(PAIR, STRONG)).unionByName(scratch.cut(_large(plain, met, width, similar, shingle, parts)), allowMissingColumns=True)
+    pairs = pairs.select("key", (F.col("kind") == STRONG).alias("strong"), *sides)
     member = F.struct("key", "strong", *[n + x for x in ("", "2") for n in names[1:]])
     functions = F.expr("bit_count(bit_or(shiftleft(1, cast(key & 7 as int))))")
     paired = pairs.groupBy("doc", "doc2").agg(F.collect_set(member).alias("w"), functions.alias("n"), F.bool_or("strong").alias("s")).where((F.col("n") >= agree) | F.col("s")).drop("n", "s")
@@ -725,12 +835,11 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similar: float =
     row's own, ``spans`` are the merged word ranges (begin, end) verified by some link and
     ``n_repeated`` is the number of words in them. Links inside a document do not count.
 
-    Word-for-word passages are all found: equal surroundings of a centre link at once, others by verified pairs or
-    by all their runs, whatever other passages share a least hash. Of others, a pair of similarity s agrees in each
+    Word-for-word passages are all found: equal surroundings of a centre link at once, others by verified pairs,
+    whatever other passages share a least hash. Of others, a pair of similarity s agrees in each
     hash function with probability s, and two of four must, or half a run must be equal. Up to ``PAIRS`` different
-    surroundings of a key are all paired; of more, those with words beside the centre in common, and all with the
-    least and the one before. So what can be missed are passages with changed words whose windows all lie in
-    keys of many surroundings that share no quarter of a run beside the centre.
+    surroundings of a key are all paired. More are compared by all their shingles, where one hash function is enough:
+    no two of a key whose surroundings hold a common passage stay apart.
 
     Null, empty and shorter texts have no passage: they have their own class. Rows of one
     doc_id are one document; a null doc_id links with nothing and has a null class.

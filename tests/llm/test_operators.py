@@ -545,6 +545,59 @@ def test_passages_among_others_with_their_least_shingles(spark):
     assert all(got[i].n_repeated == 0 for i, _ in rows if i % 1000 not in (400, 600))
 
 
+def test_changed_passages_in_keys_of_many_documents(spark):
+    """Each least shingle of two passages with a changed word also lies in twenty documents between and around them."""
+    r = random.Random(17)
+    text = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for base in range(0, 20_000, 1000):
+        one = text(60)
+        two = [*one[:30], *text(1), *one[31:]]
+        few = [w[i : i + 5] for w in (one, two) for i in passages.compact_windows(passages.Shingler(5)(" ".join(w)), 46)[1].tolist()]
+        rows += [(base + 400, " ".join(one)), (base + 600, " ".join(two))]
+        rows += [(base + at + k, " ".join(text(50) + w + text(50))) for k, w in enumerate(few) for at in range(0, 1000, 50) if at not in (400, 600)]
+    got = {x.doc_id: x for x in passages.repeated_passages(docs_of(spark, rows)).collect()}
+    lost = [b for b in range(0, 20_000, 1000) if got[b + 600].component_id != b + 400 or min(got[b + 400].n_repeated, got[b + 600].n_repeated) < 60]
+    assert not lost, lost
+    assert all(got[i].n_repeated == 0 for i, _ in rows if i % 1000 not in (400, 600))
+
+
+def test_windows_of_large_keys_against_all_pairs():
+    r = np.random.default_rng(3)
+    for trial in range(12):
+        key, doc, centre, h = [], [], [], []
+        for k in range(3):
+            base = r.integers(0, 1 << 30, (4, 91))
+            for d in sorted(r.integers(0, 25, 40).tolist()):
+                w = base[r.integers(0, 4)].copy()
+                change = r.random(91) < (0.02, 0.05, 0.4)[r.integers(0, 3)]
+                w[change] = r.integers(0, 1 << 30, change.sum() if r.random() < 0.8 else 1)
+                c, left = 45, int(r.integers(0, 46))
+                if trial % 3 == 1:  # words left out
+                    at = int(r.integers(0, 85))
+                    w, c = np.delete(w, slice(at, at + 3)), c - (3 if at < 43 else 0)
+                if trial % 3 == 2:  # few different shingles
+                    w[30:85] = w[30 + r.integers(0, 3)]
+                w[c] = k
+                w = w[left:]
+                key, doc, centre, h = [*key, k], [*doc, d], [*centre, c - left], [*h, w]
+        size = np.array([len(x) for x in h])
+        ok = (size >= 46) & (np.array(centre) >= 0)
+        key, doc, centre, size = (np.array(x)[ok] for x in (key, doc, centre, size))
+        h = [x.astype(np.int32) for x, y in zip(h, ok) if y]
+        i, j = passages.near_windows(key, doc, centre, np.concatenate(h), size, 46, 0.8)
+        passage = lambda x, y: passages.matches(h[x].astype(np.int64), h[y].astype(np.int64), 46, 0.8, int(centre[y] - centre[x]))  # noqa: B023, E731
+        true = [(x, y) for x in range(len(h)) for y in range(len(h)) if key[x] == key[y] and doc[x] != doc[y] and passage(x, y)]
+        node = lambda x: (int(key[x]), int(doc[x]))  # noqa: B023, E731
+        nodes = {node(x) for x in range(len(h))}
+        got = list(zip(i.tolist(), j.tolist()))
+        assert all(passage(*p) for p in got)
+        assert classes([(node(x), node(y)) for x, y in got], nodes) == classes([(node(x), node(y)) for x, y in true], nodes)
+        covered = [[{(x, p) for x, y in some for b, e, _, _ in passage(x, y) for p in range(b, e)}, {(y, p) for x, y in some for _, _, b, e in passage(x, y) for p in range(b, e)}] for some in (got, true)]
+        shared = {(x, p) for x in range(len(h)) for p in range(len(h[x])) if any(key[y] == key[x] and doc[y] != doc[x] and h[x][p] in h[y] for y in range(len(h)))}
+        assert (covered[0][0] | covered[0][1]) & shared == (covered[1][0] | covered[1][1]) & shared
+
+
 def test_families_of_copies_with_a_shared_head(spark):
     r = random.Random(8)
     text = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
