@@ -518,20 +518,28 @@ def _near(doc, centre, parts, win, token, pos, least, once, width: int, similar:
     covered = np.zeros((m, span), bool)
     out: list[tuple[int, int]] = []
 
+    mine = np.full(len(places) - 1, -1)
+
+    def holders(t: np.ndarray) -> np.ndarray:
+        """How many of some shingles each window has."""
+        n = places[t + 1] - places[t]
+        ends = np.cumsum(n)
+        return np.bincount(win[by[np.arange(ends[-1]) + np.repeat(places[t] - ends + n, n)]], minlength=m)
+
     def compare(x: int, others: np.ndarray):
         """Of ``others`` that may have a passage with ``x``: the window, 1 if it has, 0 if not, -1 if that must be asked, its range in x and its own."""
-        t = token[at[x] : at[x + 1]]
-        n = places[t + 1] - places[t]
+        own = token[at[x] : at[x + 1]]
+        mine[own] = pos[at[x] : at[x + 1]]
+        n = at[others + 1] - at[others]
         ends = np.cumsum(n)
-        e = by[np.arange(ends[-1]) + np.repeat(places[t] - ends + n, n)]
-        y, i, j = win[e], np.repeat(pos[at[x] : at[x + 1]], n), pos[e]
-        others = others & (np.bincount(y, minlength=m) >= similar * (least[x] + least) / (1 + similar) - 1e-9)
-        some = others[y]
-        y, i, j = y[some], i[some], j[some]
-        order = np.argsort(y * span + i)
-        y, i, j = y[order], i[order], j[order]
-        if not len(y):
+        e = np.arange(int(n.sum())) + np.repeat(at[others] - ends + n, n)
+        i, row = mine[token[e]], np.repeat(np.arange(len(others)), n)
+        mine[own] = -1
+        both = np.bincount(row[i >= 0], minlength=len(others)) >= similar * (least[x] + least[others]) / (1 + similar) - 1e-9
+        some = (i >= 0) & both[row]
+        if not some.any():
             return [np.empty(0, np.int64)] * 6
+        i, y, j = i[some], others[row[some]], pos[e[some]]
         new = np.concatenate([[True], y[1:] != y[:-1]])
         begin, row = np.flatnonzero(new), np.cumsum(new) - 1
         end = np.append(begin[1:], len(y))
@@ -539,8 +547,12 @@ def _near(doc, centre, parts, win, token, pos, least, once, width: int, similar:
         score = (1 + similar) * (np.arange(len(y)) - begin[row]) - similar * (i + j)
         lift = (len(begin) - row) * (8.0 * span)
         best = np.maximum.accumulate((score + lift)[::-1])[::-1] - lift
-        far = [np.searchsorted(row * (2 * span) + v, row * (2 * span) + v + width - 1) for v in (i, j)]
-        far = np.maximum(*far)
+        far = np.zeros(len(y), np.int64)  # the first common shingle that is far enough, counted within the row
+        for v in (i, j):
+            before = np.zeros((len(begin), span + width), np.int16)
+            before[row, v + 1] = 1
+            far = np.maximum(far, np.cumsum(before, axis=1, dtype=np.int16)[row, v + width - 1])
+        far += begin[row]
         ok = far < end[row]
         ok[ok] = best[far[ok]] >= score[ok] - (1 - similar) - 1e-6
         low = np.minimum.reduceat(np.where(ok, score, np.inf), begin)
@@ -549,7 +561,7 @@ def _near(doc, centre, parts, win, token, pos, least, once, width: int, similar:
         last = np.maximum.reduceat(np.where(inside, np.arange(len(y)), 0), begin)
         last = np.maximum(last, begin)
         state = np.logical_or.reduceat(ok, begin).astype(np.int64)
-        turns = np.concatenate([[False], (j[1:] < j[:-1]) & ~new[1:]])
+        turns = np.concatenate([[False], (i[1:] < i[:-1]) & ~new[1:]])
         state[np.logical_or.reduceat(turns, begin) | ~once[y[begin]] | (not once[x])] = -1
         return y[begin], state, i[first], i[last] + 1, j[first], j[last] + 1
 
@@ -568,7 +580,8 @@ def _near(doc, centre, parts, win, token, pos, least, once, width: int, similar:
             break
         x = int(left[0])
         seen[x] = True
-        y, state, *ranges = compare(x, ~seen & (label != label[x]))
+        enough = holders(token[at[x] : at[x + 1]]) >= similar * (least[x] + least) / (1 + similar) - 1e-9
+        y, state, *ranges = compare(x, np.flatnonzero(enough & ~seen & (label != label[x])))
         yes = np.flatnonzero(state == 1)
         joins, one = np.unique(label[y[yes]], return_index=True)
         for k in yes[one].tolist():
@@ -579,28 +592,31 @@ def _near(doc, centre, parts, win, token, pos, least, once, width: int, similar:
                 take(x, v, found)
                 label[label == label[v]] = label[x]
     for x in range(m):
-        q = pos[at[x] : at[x + 1]]
-        bare = ~covered[x, q]
-        if not bare.any():
+        q, own = pos[at[x] : at[x + 1]], token[at[x] : at[x + 1]]
+        if covered[x, q].all():
             continue
-        t = token[at[x] : at[x + 1]][bare]
-        have = np.zeros(m, bool)
-        have[win[by[np.concatenate([np.arange(places[v], places[v + 1]) for v in t.tolist()])]]] = True
-        y, state, *ranges = compare(x, have & (doc != doc[x]))
-        yes = np.flatnonzero(state == 1)
-        while len(yes):
-            bare = np.concatenate([[0], np.cumsum(np.bincount(q[~covered[x, q]], minlength=span))])
-            gain = bare[ranges[1][yes]] - bare[ranges[0][yes]]
-            yes = yes[gain > 0]
-            if len(yes):
-                k = int(yes[gain[gain > 0].argmax()])
-                take(x, int(y[k]), [[int(v[k]) for v in ranges]])
-        for v in y[state < 0].tolist():
-            if covered[x, q].all():
-                break
-            found = ask(x, v)
-            if any((~covered[x, q] & (q >= b) & (q < e)).any() for b, e, _, _ in found):
-                take(x, v, found)
+        # Those with the most of such shingles come first, some at a time, until nothing is left to cover.
+        have = holders(own[~covered[x, q]])
+        others = np.flatnonzero((have > 0) & (doc != doc[x]))
+        others = others[np.argsort(-have[others], kind="stable")]
+        start, count = 0, 16
+        while start < len(others) and not covered[x, q].all():
+            some, start, count = others[start : start + count], start + count, 4 * count
+            y, state, *ranges = compare(x, some)
+            yes = np.flatnonzero(state == 1)
+            while len(yes):
+                bare = np.concatenate([[0], np.cumsum(np.bincount(q[~covered[x, q]], minlength=span))])
+                gain = bare[ranges[1][yes]] - bare[ranges[0][yes]]
+                yes = yes[gain > 0]
+                if len(yes):
+                    k = int(yes[gain[gain > 0].argmax()])
+                    take(x, int(y[k]), [[int(v[k]) for v in ranges]])
+            for v in y[state < 0].tolist():
+                if covered[x, q].all():
+                    break
+                found = ask(x, v)
+                if any((~covered[x, q] & (q >= b) & (q < e)).any() for b, e, _, _ in found):
+                    take(x, v, found)
     return out
 
 
