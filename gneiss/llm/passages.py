@@ -18,6 +18,8 @@ SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
 HASHES, AGREE = 4, 2
 #: So many different surroundings of a key are paired unseen; those of larger keys are compared by their shingles.
 PAIRS = 12
+#: So many windows of a key are compared all with all at once, and so many at a time in larger ones.
+SMALL = 48
 #: Aligned passages may drift by so many words within one candidate.
 DRIFT = 16
 #: Slices that one row asks of a document; more are dealt over several rows.
@@ -450,10 +452,43 @@ def _met_large(width: int, similar: float):
     return run
 
 
-def _distinct(before: np.ndarray, width: int) -> int:
-    """Least number of different shingles in a run of ``width``; ``before`` is where each was seen last, or -1."""
-    starts = np.arange(len(before) - width + 1)[:, None]
-    return int((before[starts + np.arange(width)] < starts).sum(1).min())
+def _distinct(before: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Least number of different shingles in a run of ``width``, by window; ``before`` is where each was seen last, or -1."""
+    least = np.full(len(size), width)
+    for start in range(int(size.max(initial=0)) - width + 1):
+        run = np.count_nonzero(before[:, start : start + width] < start, axis=1)
+        least = np.where(start + width <= size, np.minimum(least, run), least)
+    return least
+
+
+def _need(length, floor, similar: float):
+    """So many shingles of a range of ``length`` different ones must be in another with at least ``floor``."""
+    return np.maximum(similar * length, similar * (length + floor) / (1 + similar)) - 1e-6
+
+
+def _fitting(common: np.ndarray, floor: np.ndarray, width: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows of different shingles, first place and end of all ranges that may be a passage, where ``common`` says which may be common.
+
+    Each begins and ends with one of these; there is none where the end is no larger than the first place.
+    """
+    n, span = common.shape
+    count = np.zeros((n, span + 1), np.float32)
+    np.cumsum(common, axis=1, out=count[:, 1:])
+    places = np.arange(span + 1, dtype=np.float32)
+    begins, ends = common.copy(), common.copy()
+    if span < width:
+        return np.full(n, span), np.zeros(n, np.int64)
+    for slope, lift in ((similar, np.zeros(n)), (similar / (1 + similar), similar * floor / (1 + similar))):
+        score = count - np.float32(slope) * places
+        lift = (lift - 1e-3).astype(np.float32)[:, None]
+        top = np.maximum.accumulate(np.where(common, score[:, 1:], -np.inf)[:, ::-1], axis=1)[:, ::-1]
+        low = np.minimum.accumulate(np.where(common, score[:, :-1], np.inf), axis=1)
+        begins[:, : span - width + 1] &= top[:, width - 1 :] - score[:, : span - width + 1] >= lift
+        ends[:, width - 1 :] &= score[:, width:] - low[:, : span - width + 1] >= lift
+    begins[:, span - width + 1 :] = False
+    ends[:, : width - 1] = False
+    first = np.where(begins.any(1), begins.argmax(1), span)
+    return first, np.where(ends.any(1), span - ends[:, ::-1].argmax(1), 0)
 
 
 def near_windows(key: np.ndarray, doc: np.ndarray, centre: np.ndarray, h: np.ndarray, size: np.ndarray, width: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
@@ -475,8 +510,12 @@ def near_windows(key: np.ndarray, doc: np.ndarray, centre: np.ndarray, h: np.nda
     before = np.full(len(h), -1)
     before[order[again + 1]] = pos[order[again]]
     least, once = np.full(n, width), np.ones(n, bool)
-    for x in np.unique(win[before >= 0]).tolist():
-        once[x], least[x] = False, _distinct(before[begin[x] : end[x]], width)
+    once[win[before >= 0]] = False
+    span, some = 2 * width, np.flatnonzero(~once)
+    seen = np.full((len(some), span), span)
+    at = np.searchsorted(some, win[~once[win]])
+    seen[at, pos[~once[win]]] = before[~once[win]]
+    least[some] = _distinct(seen, size[some], width)
     first = before < 0
     win, pos, token = win[first], pos[first], (group[win[first]] << np.uint64(32)) | token[first]
     while len(win):
@@ -488,6 +527,17 @@ def near_windows(key: np.ndarray, doc: np.ndarray, centre: np.ndarray, h: np.nda
         keep[order] = np.repeat(d[b] != d[b + count - 1], count)
         enough = np.bincount(win[keep], minlength=n) >= similar * least - 1e-9
         keep &= enough[win]
+        # Shingles outside all ranges that may be passages go too.
+        some = np.flatnonzero(np.bincount(win[keep], minlength=n).astype(bool) & once)
+        floor = np.full(int(group[-1]) + 1, width)
+        np.minimum.at(floor, group[win[keep]].astype(np.int64), least[win[keep]])
+        row = np.full(n, -1)
+        row[some] = np.arange(len(some))
+        common = np.zeros((len(some), span), bool)
+        own = keep & once[win]
+        common[row[win[own]], pos[own]] = True
+        low, high = _fitting(common, floor[group[some].astype(np.int64)], width, similar)
+        keep[own] = (pos[own] >= low[row[win[own]]]) & (pos[own] < high[row[win[own]]])
         win, pos, token = win[keep], pos[keep], token[keep]
         if keep.all():
             break
@@ -512,61 +562,119 @@ def _near(doc, centre, parts, win, token, pos, least, once, width: int, similar:
     """
     m, span = len(doc), 2 * width
     at = np.searchsorted(win, np.arange(m + 1))
+    held = np.bincount(token)
     by = np.argsort(token, kind="stable")
-    places = np.searchsorted(token[by], np.arange(int(token.max()) + 2))
+    places = np.concatenate([[0], np.cumsum(held)])
+    floor = int(least.min())
     label = np.unique(doc, return_inverse=True)[1]
     covered = np.zeros((m, span), bool)
     out: list[tuple[int, int]] = []
 
-    mine = np.full(len(places) - 1, -1)
-
     def holders(t: np.ndarray) -> np.ndarray:
         """How many of some shingles each window has."""
         n = places[t + 1] - places[t]
         ends = np.cumsum(n)
         return np.bincount(win[by[np.arange(ends[-1]) + np.repeat(places[t] - ends + n, n)]], minlength=m)
 
-    def compare(x: int, others: np.ndarray):
-        """Of ``others`` that may have a passage with ``x``: the window, 1 if it has, 0 if not, -1 if that must be asked, its range in x and its own."""
-        own = token[at[x] : at[x + 1]]
-        mine[own] = pos[at[x] : at[x + 1]]
+    def asked(one, two):
+        """So many shingles must be in both of two windows."""
+        one, two = least[one], least[two]
+        return np.maximum(similar * (one + two) / (1 + similar), similar * np.maximum(one, two)) - 1e-9
+
+    def compare(x, others: np.ndarray):
+        """Of ``others`` that may have a passage with ``x`` (one window, or one for each): the place among them, 1 if it has, 0 if not, -1 if that must be asked, its range in x and its own."""
         n = at[others + 1] - at[others]
         ends = np.cumsum(n)
         e = np.arange(int(n.sum())) + np.repeat(at[others] - ends + n, n)
-        i, row = mine[token[e]], np.repeat(np.arange(len(others)), n)
-        mine[own] = -1
-        both = np.bincount(row[i >= 0], minlength=len(others)) >= similar * (least[x] + least[others]) / (1 + similar) - 1e-9
-        some = (i >= 0) & both[row]
-        if not some.any():
+        row = np.repeat(np.arange(len(others)), n)
+        if np.ndim(x):
+            i = table[x[row], token[e]]
+        else:
+            own = slice(at[x], at[x + 1])
+            mine[token[own]] = pos[own]
+            i = mine[token[e]]
+            mine[token[own]] = -1
+        some = np.flatnonzero(i >= 0)
+        both = np.bincount(row[some], minlength=len(others)) >= asked(x, others)
+        some = some[both[row[some]]]
+        if not len(some):
             return [np.empty(0, np.int64)] * 6
-        i, y, j = i[some], others[row[some]], pos[e[some]]
-        new = np.concatenate([[True], y[1:] != y[:-1]])
-        begin, row = np.flatnonzero(new), np.cumsum(new) - 1
-        end = np.append(begin[1:], len(y))
+        i, row, j = i[some].astype(np.int64), row[some], pos[e[some]]
+        new = np.concatenate([[True], row[1:] != row[:-1]])
+        begin = np.flatnonzero(new)
+        of, row = row[begin], np.cumsum(new) - 1
+        end = np.append(begin[1:], len(i))
+        y, x = others[of], x[of] if np.ndim(x) else np.full(len(of), x)
         # As in ``matches``, but for all at once; it is asked where shingles repeat or change their order.
-        score = (1 + similar) * (np.arange(len(y)) - begin[row]) - similar * (i + j)
+        score = (1 + similar) * (np.arange(len(i)) - begin[row]) - similar * (i + j)
         lift = (len(begin) - row) * (8.0 * span)
         best = np.maximum.accumulate((score + lift)[::-1])[::-1] - lift
-        far = np.zeros(len(y), np.int64)  # the first common shingle that is far enough, counted within the row
+        far = np.zeros(len(i), np.int64)  # the first common shingle that is far enough, counted within the row
+        masks = []
         for v in (i, j):
+            common = np.zeros((len(begin), span), bool)
+            common[row, v] = True
+            masks.append(common)
             before = np.zeros((len(begin), span + width), np.int16)
-            before[row, v + 1] = 1
-            far = np.maximum(far, np.cumsum(before, axis=1, dtype=np.int16)[row, v + width - 1])
+            np.cumsum(common, axis=1, out=before[:, 1 : span + 1], dtype=np.int16)
+            before[:, span + 1 :] = before[:, span : span + 1]
+            far = np.maximum(far, before[row, v + width - 1])
         far += begin[row]
         ok = far < end[row]
         ok[ok] = best[far[ok]] >= score[ok] - (1 - similar) - 1e-6
         low = np.minimum.reduceat(np.where(ok, score, np.inf), begin)
         inside = score >= low[row] - (1 - similar) - 1e-6
-        first = np.minimum.reduceat(np.where(ok, np.arange(len(y)), len(y) - 1), begin)
-        last = np.maximum.reduceat(np.where(inside, np.arange(len(y)), 0), begin)
+        first = np.minimum.reduceat(np.where(ok, np.arange(len(i)), len(i) - 1), begin)
+        last = np.maximum.reduceat(np.where(inside, np.arange(len(i)), 0), begin)
         last = np.maximum(last, begin)
         state = np.logical_or.reduceat(ok, begin).astype(np.int64)
         turns = np.concatenate([[False], (i[1:] < i[:-1]) & ~new[1:]])
-        state[np.logical_or.reduceat(turns, begin) | ~once[y[begin]] | (not once[x])] = -1
-        return y[begin], state, i[first], i[last] + 1, j[first], j[last] + 1
+        unsure = np.logical_or.reduceat(turns, begin) | ~once[y] | ~once[x]
+        state[unsure] = -1
+        for mask, one, two in ((masks[0], x, y), (masks[1], y, x)):  # but not where the common shingles are too few for any range
+            some = np.flatnonzero(unsure & once[one])
+            if len(some):
+                b, f = _fitting(mask[some], least[two[some]], width, similar)
+                state[some[f <= b]] = 0
+        return of, state, i[first], i[last] + 1, j[first], j[last] + 1
+
+    small = m <= SMALL
+    if small:
+        # All pairs at once; ``known`` has what ``compare`` tells of each.
+        table = np.full((m, len(held)), -1, np.int16)
+        table[win, token] = pos
+        has = (table >= 0).astype(np.float32)
+        x, y = np.triu_indices(m, 1)
+        some = (doc[x] != doc[y]) & ((has @ has.T)[x, y] >= asked(x, y))
+        x, y = x[some], y[some]
+        known = np.zeros((5, m, m), np.int64)
+        if len(x):
+            of, *told = compare(x, y)
+            known[:, x[of], y[of]] = told
+            known[:, y[of], x[of]] = [told[0], *told[3:], *told[1:3]]
+            if not known[0].any():
+                return out
+    else:
+        mine = np.full(len(held), -1)
+
+    def met(x: int, others: np.ndarray):
+        """As ``compare``, with the windows."""
+        if small:
+            told = known[:, x, others]
+            some = told[0] != 0
+            return others[some], *told[:, some]
+        of, *told = compare(x, others)
+        return others[of], *told
+
+    nothing: set[tuple[int, int]] = set()  # pairs that were asked in vain
 
     def ask(x: int, y: int) -> list[tuple[int, int, int, int]]:
-        return matches(parts[x], parts[y], width, similar, int(centre[y] - centre[x]))
+        if (x, y) in nothing or (y, x) in nothing:
+            return []
+        ranges = matches(parts[x], parts[y], width, similar, int(centre[y] - centre[x]))
+        if not ranges:
+            nothing.add((x, y))
+        return ranges
 
     def take(x: int, y: int, ranges):
         for b, e, b2, e2 in ranges:
@@ -580,8 +688,10 @@ def _near(doc, centre, parts, win, token, pos, least, once, width: int, similar:
             break
         x = int(left[0])
         seen[x] = True
-        enough = holders(token[at[x] : at[x + 1]]) >= similar * (least[x] + least) / (1 + similar) - 1e-9
-        y, state, *ranges = compare(x, np.flatnonzero(enough & ~seen & (label != label[x])))
+        others = ~seen & (label != label[x])
+        if not small:
+            others &= holders(token[at[x] : at[x + 1]]) >= asked(x, slice(None))
+        y, state, *ranges = met(x, np.flatnonzero(others))
         yes = np.flatnonzero(state == 1)
         joins, one = np.unique(label[y[yes]], return_index=True)
         for k in yes[one].tolist():
@@ -591,32 +701,83 @@ def _near(doc, centre, parts, win, token, pos, least, once, width: int, similar:
             if label[v] != label[x] and (found := ask(x, v)):
                 take(x, v, found)
                 label[label == label[v]] = label[x]
-    for x in range(m):
-        q, own = pos[at[x] : at[x + 1]], token[at[x] : at[x + 1]]
-        if covered[x, q].all():
-            continue
-        # Those with the most of such shingles come first, some at a time, until nothing is left to cover.
-        have = holders(own[~covered[x, q]])
-        others = np.flatnonzero((have > 0) & (doc != doc[x]))
-        others = others[np.argsort(-have[others], kind="stable")]
-        start, count = 0, 16
-        while start < len(others) and not covered[x, q].all():
+    # Shingles that many windows have, as a row of flags each.
+    often = np.flatnonzero(8 * held >= m) if not small else np.empty(0, np.int64)
+    row_of = np.full(len(held), -1)
+    row_of[often] = np.arange(len(often))
+    flags = np.zeros((len(often), m), np.uint8)
+    some = row_of[token] >= 0
+    flags[row_of[token[some]], win[some]] = 1
+
+    def having(t: np.ndarray) -> np.ndarray:
+        """Which windows have each of some shingles."""
+        out, at = np.zeros((len(t), m), np.uint8), row_of[t]
+        out[at >= 0] = flags[at[at >= 0]]
+        few = np.flatnonzero(at < 0)
+        n = held[t[few]]
+        ends = np.cumsum(n)
+        if len(few):
+            out[np.repeat(few, n), win[by[np.arange(ends[-1]) + np.repeat(places[t[few]] - ends + n, n)]]] = 1
+        return out
+
+    def ending(q: np.ndarray, has: np.ndarray, tried: np.ndarray) -> np.ndarray:
+        """Windows not tried that have the first of some shingles and so many of those up to another one that the range may be a passage.
+
+        ``q`` are their distances from the first, ``has`` says which windows have them.
+        """
+        some = np.flatnonzero((has[0] == 1) & ~tried)
+        far = np.flatnonzero(q >= width - 1)
+        if not len(some) or not len(far):
+            return some[:0]
+        has = has[:, some]
+        count = np.cumsum(has, axis=0, dtype=np.uint8)
+        need = np.ceil(_need(q[far] + 1, floor, similar)).astype(np.uint8)
+        may = ((count[far[0] :] >= need[:, None]) & (has[far[0] :] == 1)).any(0)
+        return some[may][np.argsort(-count[-1, may].astype(np.int64), kind="stable")]
+
+    def cover(x: int, others: np.ndarray, goal: np.ndarray):
+        """Pairs of ``x`` with some of ``others``, some at a time, until it is covered at all of ``goal``."""
+        start, count = 0, SMALL
+        while start < len(others) and not covered[x, goal].all():
             some, start, count = others[start : start + count], start + count, 4 * count
-            y, state, *ranges = compare(x, some)
+            y, state, *ranges = met(x, some)
             yes = np.flatnonzero(state == 1)
-            while len(yes):
-                bare = np.concatenate([[0], np.cumsum(np.bincount(q[~covered[x, q]], minlength=span))])
-                gain = bare[ranges[1][yes]] - bare[ranges[0][yes]]
-                yes = yes[gain > 0]
-                if len(yes):
-                    k = int(yes[gain[gain > 0].argmax()])
-                    take(x, int(y[k]), [[int(v[k]) for v in ranges]])
+            if len(yes):  # all have the centre, so the farthest on either side cover what any cover
+                for k in {int(yes[ranges[0][yes].argmin()]), int(yes[ranges[1][yes].argmax()])}:
+                    if not covered[x, q[(q >= ranges[0][k]) & (q < ranges[1][k])]].all():
+                        take(x, int(y[k]), [[int(v[k]) for v in ranges]])
             for v in y[state < 0].tolist():
-                if covered[x, q].all():
+                if covered[x, goal].all():
                     break
                 found = ask(x, v)
                 if any((~covered[x, q] & (q >= b) & (q < e)).any() for b, e, _, _ in found):
                     take(x, v, found)
+
+    for x in range(m):
+        q, own = pos[at[x] : at[x + 1]], token[at[x] : at[x + 1]]
+        if covered[x, q].all():
+            continue
+        if small:
+            cover(x, np.flatnonzero(known[0, x]), q)
+            continue
+        if not once[x]:
+            have = holders(own[~covered[x, q]])  # those with the most of such shingles come first
+            others = np.flatnonzero((have > 0) & (doc != doc[x]))
+            cover(x, others[np.argsort(-have[others], kind="stable")], q)
+            continue
+        # A passage has the centre. So the outermost place not covered can only be covered by a passage that ends there, and then all up to the centre are.
+        tried, has = doc == doc[x], having(own)
+        for side in (1, -1):
+            outer = np.arange(len(q))[::side]
+            for k in outer[~covered[x, q[outer]] & (side * (q[outer] - centre[x]) <= 0)].tolist():
+                if covered[x, q[k]]:
+                    break
+                tail = slice(k, None, side)
+                others = ending(side * (q[tail] - q[k]), has[tail], tried)
+                if len(others):
+                    cover(x, others, q[k : k + 1])
+                    if not covered[x, q[k]]:
+                        tried[others] = True
     return out
 
 
@@ -694,11 +855,16 @@ def _chain(a: np.ndarray, b: np.ndarray, off: int) -> tuple[np.ndarray, np.ndarr
     ranked = b[order]
     low, high = np.searchsorted(ranked, a), np.searchsorted(ranked, a, "right")
     i = np.flatnonzero(high > low)
-    want = i + off
     j = order[low[i]]
-    for k in np.flatnonzero(high[i] - low[i] > 1):
-        some = order[low[i[k]] : high[i[k]]]
-        j[k] = some[np.argmin(np.abs(some - want[k]))]
+    some = np.flatnonzero(high[i] - low[i] > 1)
+    if len(some):
+        want, first, end = i[some] + off, low[i[some]], high[i[some]]
+        # Places rise within equal shingles: the last one before the wanted place or the first one from it on.
+        step = 2 * (len(a) + len(b) + abs(off)) + 1
+        ranks = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])) * step
+        at = np.searchsorted(ranks + order, ranks[first] + want)
+        one, two = order[np.clip(at - 1, first, end - 1)], order[np.clip(at, first, end - 1)]
+        j[some] = np.where(np.abs(one - want) <= np.abs(two - want), one, two)
     if (np.diff(j) > 0).all():
         return i, j
     tails: list[int] = []
@@ -715,6 +881,17 @@ def _chain(a: np.ndarray, b: np.ndarray, off: int) -> tuple[np.ndarray, np.ndarr
     return i[keep], j[keep]
 
 
+def _in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a few numbers are among a few others."""
+    b = np.sort(b)
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
+
+
+def _set(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def matches(a: np.ndarray, b: np.ndarray, width: int, similar: float, off: int = 0) -> list[tuple[int, int, int, int]]:
     """(begin in a, end in a, begin in b, end in b) in shingles of verified common passages.
 
@@ -731,7 +908,7 @@ def matches(a: np.ndarray, b: np.ndarray, width: int, similar: float, off: int =
     if out and out[0][1] - out[0][0] == max(len(a), len(b)):
         return out
     # Common c of lengths p and q, both ``width`` at least: c / (p + q - c) >= similar asks for so many.
-    if np.isin(a, b).sum() < 2 * similar * width / (1 + similar) - 1e-9:
+    if np.count_nonzero(_in(a, b)) < 2 * similar * width / (1 + similar) - 1e-9:
         return out
     i, j = _chain(a, b, off)
     if len(i) >= similar * width:
@@ -740,7 +917,7 @@ def matches(a: np.ndarray, b: np.ndarray, width: int, similar: float, off: int =
         best = np.maximum.accumulate(score[::-1])[::-1]
         last = np.searchsorted(-best, -(score - (1 - similar) - 1e-9), "right") - 1
         begin = np.flatnonzero((i[last] - i + 1 >= width) & (j[last] - j + 1 >= width))
-        repeats = len(np.unique(a)) < len(a) or len(np.unique(b)) < len(b)
+        repeats = len(_set(a)) < len(a) or len(_set(b)) < len(b)
         if not repeats and len(begin):  # then a range is new if it ends behind all before
             reach = np.maximum.accumulate(last[begin])
             begin = begin[np.concatenate([[True], last[begin][1:] > reach[:-1]])]
@@ -749,17 +926,17 @@ def matches(a: np.ndarray, b: np.ndarray, width: int, similar: float, off: int =
             if t <= reach:
                 continue
             if repeats:
-                one, two = np.unique(a[i[s] : i[t] + 1]), np.unique(b[j[s] : j[t] + 1])
-                both = len(np.intersect1d(one, two, assume_unique=True))
+                one, two = _set(a[i[s] : i[t] + 1]), _set(b[j[s] : j[t] + 1])
+                both = np.count_nonzero(_in(one, two))
                 if both < similar * (len(one) + len(two) - both):
                     continue
             reach = t
             out.append((int(i[s]), int(i[t]) + 1, int(j[s]), int(j[t]) + 1))
     if not out:  # parts in another order
-        p, q = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+        p, q = np.flatnonzero(_in(a, b)), np.flatnonzero(_in(b, a))
         if len(p) and min(p[-1] - p[0], q[-1] - q[0]) + 1 >= width:
-            one, two = np.unique(a[p[0] : p[-1] + 1]), np.unique(b[q[0] : q[-1] + 1])
-            both = len(np.intersect1d(one, two, assume_unique=True))
+            one, two = _set(a[p[0] : p[-1] + 1]), _set(b[q[0] : q[-1] + 1])
+            both = np.count_nonzero(_in(one, two))
             if both >= similar * (len(one) + len(two) - both):
                 out.append((int(p[0]), int(p[-1]) + 1, int(q[0]), int(q[-1]) + 1))
     merged: list[tuple[int, int, int, int]] = []

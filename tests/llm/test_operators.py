@@ -598,6 +598,22 @@ def test_windows_of_large_keys_against_all_pairs():
         assert (covered[0][0] | covered[0][1]) & shared == (covered[1][0] | covered[1][1]) & shared
 
 
+def test_windows_with_spread_common_shingles_are_not_asked(monkeypatch):
+    """Windows with repeats share many shingles with others, but nowhere enough of them close together."""
+    r = np.random.default_rng(5)
+    few, calls, matches = np.arange(1, 41), [], passages.matches
+    monkeypatch.setattr(passages, "matches", lambda *x: calls.append(1) or matches(*x))
+    h = [np.concatenate([few, few, few[:11]]) for _ in range(20)]
+    for _ in range(100):
+        w = r.integers(1000, 1 << 30, 91)
+        w[np.sort(r.permutation(np.arange(1, 90, 2))[:40])] = few
+        h.append(w)
+    n = len(h)
+    i, j = passages.near_windows(np.zeros(n, np.int64), np.arange(n), np.full(n, 45), np.concatenate(h).astype(np.int32), np.full(n, 91), 46, 0.8)
+    assert classes(list(zip(i.tolist(), j.tolist())), range(n)) == {x: 0 if x < 20 else x for x in range(n)}
+    assert len(calls) < 500
+
+
 def test_families_of_copies_with_a_shared_head(spark):
     r = random.Random(8)
     text = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
